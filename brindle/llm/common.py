@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer single text is a step of its own.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 #: The characters that part words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -23,10 +25,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string); a null text is an empty one, other columns go."""
-    return df.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    )
+    return df.select(*pick_columns(id_col, text_col))
+
+
+def pick_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """What pick selects."""
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +59,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow over batches of bounded size, so that a Python worker's memory does not follow the rows' length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES >> 20}m")
+    return df.mapInArrow(f, schema)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing reads any more."""
     spark = df.sparkSession

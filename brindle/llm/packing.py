@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -10,41 +11,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, binary_rows, pick, ragged, text_slices
+from .common import CHUNK_BYTES, Words, arrow_map, binary_rows, pick, ragged, text_slices
 
 #: Tokens of a sequence.
 SEQ_LEN = 2048
 #: UTF-8 bytes of text per randomised group: about a thousand sequences, so that a last, part-filled bin weighs little.
 GROUP_BYTES = 8 << 20
 #: Different words whose ids a Python worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Marks after a word that form a token of their own beside its letters.
+TAIL = b".,!?;:"
+#: Parts words that are encoded in one call; the words themselves are free of "<|".
+MARK, MARK_ID = "<|startoftext|>", 49406
+
+
+def _letter(core: bytes) -> bool:
+    """Whether the last character is a letter, and stays one in lower case."""
+    return unicodedata.category(unicodedata.normalize("NFC", core.decode()).lower()[-1])[0] == "L"
+
+
+def _split(word: bytes) -> tuple[bytes, bytes]:
+    """A word's core and the marks at its end, where both are sure to be tokenised apart; A-Z lower-cased."""
+    core = word.rstrip(TAIL)
+    if len(core) == len(word) or not core or not (core[-1:].isalnum() or core[-1] > 127 and _letter(core)):
+        return word.lower(), b""
+    return core.lower(), word[len(core) :]
 
 
 class WordTokenizer:
-    """A tokenizer of the `tokenizers` library whose matches never hold white space, so that each word stands alone.
+    """A tokenizer of the `tokenizers` library that lower-cases and whose matches never hold white space, nor letters
+    and marks: each word's core and tail stand alone, are encoded once, and are kept in one flat array.
 
-    Each different word is encoded once and kept; strings that look like special tokens are ordinary text.
+    Strings that look like special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
-        new = [w for w in words if w not in self.known]
+        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.clear()
+
+    def clear(self):
+        self.known: dict[bytes, int] = {b"": 0}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = [0]
+
+    def _learn(self, words: list[bytes]):
+        for at in range(0, len(words), 20_000):
+            part = [w.decode() for w in words[at : at + 20_000]]
+            odd = [k for k, w in enumerate(part) if "<|" in w]
+            own = {k: self.plain.encode(part[k], add_special_tokens=False).ids for k in odd}
+            for k in odd:
+                part[k] = MARK[:1]
+            texts = [f" {MARK} ".join(part[k : k + 200]) for k in range(0, len(part), 200)]
+            for c, e in enumerate(self.marked.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cut = np.append(np.flatnonzero(ids == MARK_ID), len(ids))
+                keep = ids[ids != MARK_ID]
+                ends = cut - np.arange(len(cut))
+                for k in (k for k in own if c * 200 <= k < (c + 1) * 200):
+                    n = k - c * 200
+                    a, b = (ends[n - 1] if n else 0), ends[n]
+                    keep = np.concatenate([keep[:a], np.array(own[k], np.uint32), keep[b:]])
+                    ends[n:] += len(own[k]) - (b - a)
+                self._append(keep, ends)
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def _append(self, ids: np.ndarray, ends: np.ndarray):
+        used = self.ends[-1]
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.ends += (ends + used).tolist()
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after another, and the number of ids of each."""
+        if len(self.known) > KEPT_WORDS:
+            self.clear()
+        parts = [x for w in words for x in _split(w)]
+        new = list({x: None for x in parts if x not in self.known})
         if new:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-                new = words
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                got = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, got, strict=True))
-        return [self.known[w] for w in words]
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        ends = np.array(self.ends)
+        first = np.append(0, ends[:-1])
+        n = (ends - first)[number]
+        return self.flat[ragged(first[number], n)], n.reshape(-1, 2).sum(axis=1)
 
 
 @functools.lru_cache(2)
@@ -59,9 +113,7 @@ def tokens_of(col: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray,
     """The ids of all texts one after another, each closed by end_id, and the offsets (n + 1) of the texts in them."""
     w = Words(col)
     codes, different = w.coded()
-    each = tokenizer(path).ids(different)
-    size = np.array([len(x) for x in each], np.int64)
-    flat = np.concatenate([np.zeros(0, np.uint32), *each])
+    flat, size = tokenizer(path).encode(different)
     first = np.cumsum(size) - size
     n = size[codes] if len(codes) else np.zeros(0, np.int64)
     body = flat[ragged(first[codes], n)] if len(codes) else flat
@@ -81,7 +133,7 @@ def pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = 1)
     """
 
     def run(batches):
-        for b in text_slices(batches, limit=CHUNK_BYTES):
+        for b in text_slices(batches, limit=2 * CHUNK_BYTES):
             ids, off = tokens_of(b.column(1), path, end_id)
             total = np.diff(off)
             n = -(-total // seq_len)
@@ -95,7 +147,7 @@ def pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = 1)
                 names=["doc_id", "start", "length", "doc_tokens", "ids"],
             )
 
-    return pick(docs).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return arrow_map(pick(docs), run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
