@@ -119,8 +119,13 @@ def _least(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(codes: np.ndarray, doc_off: np.ndarray, window: int = WINDOW, count: int = ROUNDS):
-    """(first word, anchor name, anchor's identity) of every window, windows in order."""
+def anchors(codes: np.ndarray, doc_off: np.ndarray, window: int = WINDOW, count: int = ROUNDS, hashes=None):
+    """(first word, anchor name, anchor's identity) of every window, windows in order.
+
+    An anchor's name stands for the symbol and for all words of its need, which every copy of the window holds too;
+    so a short symbol of common words does not bring strangers together.
+    """
+    pre, back = hashes or content(codes)
     size = np.diff(doc_off)
     n_win = np.maximum(0, size - window + 1)
     win = ragged(doc_off[:-1], n_win)
@@ -144,7 +149,7 @@ def anchors(codes: np.ndarray, doc_off: np.ndarray, window: int = WINDOW, count:
             continue
         q = open_[got]
         at = _least(mix(sym), first[got], last[got])
-        anchor[q] = mix(sym[at] + np.uint64(level + 1))
+        anchor[q] = mix(mix(sym[at] + np.uint64(level + 1)) ^ span_hash(pre, back, lo[at], hi[at]))
         ident[q] = at * (count + 1) + level
         open_ = open_[~got]
     return win, anchor, ident
@@ -177,8 +182,8 @@ def word_codes(col: pa.Array) -> tuple[Words, np.ndarray]:
 def _extents(col: pa.Array, window: int):
     """Words, prefix hashes and, per extent: text's number, first window and number of windows in the text, anchor, content."""
     w, codes = word_codes(col)
-    win, anchor, ident = anchors(codes, w.doc, window)
     pre, back = content(codes)
+    win, anchor, ident = anchors(codes, w.doc, window, hashes=(pre, back))
     if not len(win):
         none = np.zeros(0, np.int64)
         return w, (pre, back), none, none, none, none.view(np.uint64), none.view(np.uint64)
