@@ -11,7 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, binary_rows, pick, text_slices
+from .common import CHUNK_BYTES, arrow_map, binary_rows, pick, text_slices
 
 #: Texts above this many characters are cut at safe boundaries before the library sees them.
 PART_CHARS = 1 << 16
@@ -99,7 +99,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                 out.append(c.decode(ids, off))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids", "decoded"][: len(out)])
 
-    return pick(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded binary" * decoded)
+    return arrow_map(pick(docs), run, "doc_id long, n_tokens long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(rows: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -112,4 +112,4 @@ def decode(rows: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
             off = col.offsets.to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), c.decode(col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]], off - off[0])], names=["doc_id", "decoded"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return arrow_map(rows.select("doc_id", "ids"), run, "doc_id long, decoded binary")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, durable, pick, text_slices
+from .common import CHUNK_BYTES, arrow_map, durable, pick, text_slices
 from .components import connected_components
 
 #: Differing bits at which two fingerprints still link.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = 42) -> DataF
             fp = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return pick(docs).mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(pick(docs), run, "doc_id long, fp long")
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -175,7 +175,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, count: int = 3) -> DataFra
             yield search(held)
 
     p = probes(nodes, count, max_bits)
-    return p.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(p.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
