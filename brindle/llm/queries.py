@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, substring
+from . import bpe, mpeg, packing, quality, secrets, simhash, substring, toxicity, training_order, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,44 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, size, rows)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    base = F.sha2(secrets.span_list(F.col("spans"), 3).cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.span_list(F.col("spans"), len(secrets.KINDS)).alias("spans"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "quality")
+
+
+def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mpeg.info(mpeg.store(table(spark, sf_dir, "documents")))
+    return m.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("right(payload, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    rows = toxicity.score(docs, model)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), key=20240229)[0]
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.substring_dedup(table(spark, sf_dir, "documents"), joiner=" ")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -33,6 +71,45 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# The rules of the query, and the words in a host that put its pages on the list.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+LISTED_HOSTS = r"(^|[.-])(spam|pills|casino|bets)([.-]|$)"
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host = urls.host_of(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_HOSTS)).select(urls.canonical(host, urls.path_of(F.col("url"))).alias("url"))
+    return urls.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages
+), c AS (
+  SELECT *,
+         regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '/index\.html?$', ''), '(\.html?|/+)$', '') AS canonical,
+         CASE
+           WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+           WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+           WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+           WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+           WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/'
+         END AS rule
+  FROM p
+), l AS (
+  SELECT DISTINCT canonical AS url FROM c WHERE regexp_matches(host, '(^|[.-])(spam|pills|casino|bets)([.-]|$)') AND canonical <> ''
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN canonical IN (SELECT url FROM l) THEN 'block' ELSE 'allow' END AS verdict
+FROM c
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
     text = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -41,9 +118,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
+    "op4_mpeg": op4_mpeg,
+    "op5_toxicity": op5_toxicity,
+    "op6_training_order": op6_training_order,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
