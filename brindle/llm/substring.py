@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Words, binary_rows, durable, pick, ragged, text_slices
+from .common import Words, arrow_map, binary_rows, durable, pick_columns, ragged, text_slices
 
 #: Words of a window.
 WINDOW = 50
@@ -195,10 +195,14 @@ def _extents(col: pa.Array, window: int):
     return w, (pre, back), row, win[at] - w.doc[row], n, anchor[at], body
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(id, tag, doc_id, text): id orders documents (a null doc_id comes last), tag tells rows of one id apart."""
-    d = pick(docs)
-    return d.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.hash("text").alias("tag"), "doc_id", "text")
+LAST = 2**63 - 1
+
+
+def _texts(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(id, tag, text, kept columns): id orders documents (a null doc_id comes last), tag tells rows of one id apart."""
+    doc_id, text = pick_columns()
+    base = docs.select(doc_id, text, *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    return base.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.hash("text").alias("tag"), "text", *[f"keep_{c}" for c in keep])
 
 
 def extents(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -213,16 +217,16 @@ def extents(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["id", "tag", "first", "n", "anchor", "body"],
             )
 
-    return texts.select("id", "tag", "text").mapInArrow(run, "id long, tag int, first int, n int, anchor long, body long")
+    return arrow_map(texts.select("id", "tag", "text"), run, "id long, tag int, first int, n int, anchor long, body long")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """(id, tag, text, wants: anchors and bodies) -> id, tag, first, anchor, body: each window of the wanted extents."""
+    """rows (id, tag, wants, text) -> id, tag, first, anchor, body: each window of the wanted extents."""
 
     def run(batches):
         for b in text_slices(batches, "text", CHUNK):
-            w, (pre, back), row, first, n, anchor, body = _extents(b.column(2), window)
-            wants = b.column(3)
+            w, (pre, back), row, first, n, anchor, body = _extents(b.column(3), window)
+            wants = b.column(2)
             owner = np.repeat(np.arange(len(wants)), np.diff(wants.offsets.to_numpy()))
             flat = wants.flatten().to_numpy().view(np.uint64)
             mine = _want(anchor, body) + row.astype(np.uint64)
@@ -237,7 +241,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 names=["id", "tag", "first", "anchor", "body"],
             )
 
-    return rows.mapInArrow(run, "id long, tag int, first int, anchor long, body long")
+    return arrow_map(rows, run, "id long, tag int, first int, anchor long, body long")
 
 
 def _want(anchor: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -252,13 +256,15 @@ def _wanted(rows: DataFrame) -> DataFrame:
             key = _want(b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key.view(np.int64))], names=["id", "tag", "want"])
 
-    return rows.select("id", "tag", "anchor", "body").mapInArrow(run, "id long, tag int, want long")
+    return arrow_map(rows.select("id", "tag", "anchor", "body"), run, "id long, tag int, want long")
 
 
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """texts (id, tag, doc_id, text) -> id, tag, first, n: word spans covered by windows that also start in a text of
-    smaller id. Text is shuffled by (id, tag) only, the way a caller's join of the result shuffles it once more: within
-    one query Spark makes that exchange once."""
+    """texts (id, tag, text, ...) -> id, tag, first, n: word spans covered by windows that also start in a text of smaller id.
+
+    Texts are shuffled once, by (id, tag), with all their columns: a caller's join of the result with the same texts
+    needs the same exchange, which Spark then makes once for the query.
+    """
     ext = durable(extents(texts, window), "extents")
     met = ext.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor")
     shared = durable(ext.join(met, "anchor", "left_semi"), "shared")
@@ -268,14 +274,15 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     several = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     show = least.join(several, "anchor", "left_semi").select(F.col("least").alias("id"), F.col("least_tag").alias("tag"), "anchor", "body")
     wants = durable(_wanted(show).groupBy("id", "tag").agg(F.collect_set("want").alias("wants")), "wants")
-    shown = _windows(texts.join(wants, ["id", "tag"]).select("id", "tag", "text", "wants"), window)
+    rest = [c for c in texts.columns if c not in ("id", "tag")]
+    shown = _windows(texts.join(wants, ["id", "tag"]).select("id", "tag", "wants", *rest), window)
     least_of = F.min("id").over(Window.partitionBy("anchor", "body"))
     single = shown.withColumn("least", least_of).where("id > least").select("id", "tag", "first", F.lit(window).alias("n"))
     return whole.union(single)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, n_removed, text: without the words of repeated windows.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_words, n_removed, text without the words of repeated windows, and the columns in keep.
 
     A word goes if a window of `window` consecutive words covers it whose words also start somewhere in a document
     with a smaller doc_id; windows are judged on the input. Without `joiner` a kept word keeps the white space before
@@ -283,9 +290,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None =
     of one doc_id are one document to each other; a null doc_id counts as the largest; columns besides are ignored; an
     empty table gives none.
     """
-    texts = _texts(docs)
+    texts = _texts(docs, keep)
     gone = repeats(texts, window).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
-    rows = texts.join(gone, ["id", "tag"], "left").select("doc_id", "text", F.col("gone.first").alias("first"), F.col("gone.n").alias("n"))
+    rows = texts.join(gone, ["id", "tag"], "left")
+    carried = [f"keep_{c}" for c in keep]
+    rows = rows.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "text", F.col("gone.first").alias("first"), F.col("gone.n").alias("n"), *carried)
 
     def run(batches):
         for b in text_slices(batches, "text", CHUNK):
@@ -316,6 +325,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None =
                 data = w.data.tobytes()
                 flags = (~out).tolist()
                 text = pa.array([glue.join([data[starts[i] : ends[i]] for i in range(p, q) if flags[i]]) for p, q in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(w.doc)), pa.array(removed), text.cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(w.doc)), pa.array(removed), text.cast(pa.string()), *b.columns[4:]], names=["doc_id", "n_words", "n_removed", "text", *carried])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    schema = "doc_id long, n_words long, n_removed long, text string" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return arrow_map(rows, run, schema).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
