@@ -18,7 +18,7 @@ from .common import CHUNK_BYTES, arrow_map, binary_rows, new_path, pick, ragged,
 from .packing import tokens_of
 
 #: Tokens of a sequence, and bytes of a stored one: unsigned 16-bit little-endian ids.
-SEQ_LEN = 512
+SEQ_LEN = 2048
 #: Sequences of a shard; every shard but the last has exactly so many, so that a slot's place is a division.
 PER_SHARD = 1 << 14
 ROUNDS = 6
@@ -57,25 +57,28 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
 
 
 def sequences(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, seq_no, n_tokens, ids (binary, seq_len 16-bit ids, padded with end_id).
+    """docs (doc_id, text) -> doc_ids, start, n_tokens, ids (binary, seq_len 16-bit ids).
 
-    A null or empty text is one sequence of end_id; repeated rows repeat; an empty table gives none."""
+    Texts that a task reads together are laid end to end, each closed by end_id, and cut every seq_len ids; only the last
+    sequence of a few megabytes of text is padded. doc_ids are the documents with ids in the sequence, start the first
+    one's ids before it. A null or empty text is end_id alone; repeated rows repeat; an empty table gives none.
+    """
 
     def run(batches):
         for b in text_slices(batches, limit=2 * CHUNK_BYTES):
             ids, off = tokens_of(b.column(1), path, end_id)
-            total = np.diff(off)
-            n = -(-total // seq_len)
-            row = np.repeat(np.arange(len(n)), n)
-            no = ragged(np.zeros(len(n), np.int64), n)
-            size = np.minimum(seq_len, total[row] - no * seq_len)
-            grid = np.full(len(row) * seq_len, end_id, "<u2")
-            first = np.cumsum(n) - n
-            grid[ragged(first * seq_len, total)] = ids
-            cut = np.arange(len(row) + 1) * seq_len * 2
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(no), pa.array(size), binary_rows(grid.view(np.uint8), cut)], names=["doc_id", "seq_no", "n_tokens", "ids"])
+            at = np.arange(0, len(ids), seq_len)
+            stop = np.minimum(at + seq_len, len(ids))
+            first = np.searchsorted(off, at, "right") - 1
+            docs_in = np.searchsorted(off, stop, "left") - first
+            grid = np.full(len(at) * seq_len, end_id, "<u2")
+            grid[: len(ids)] = ids
+            names = b.column(0).take(pa.array(ragged(first, docs_in)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(docs_in)).astype(np.int32)), names)
+            cut = np.arange(len(at) + 1) * seq_len * 2
+            yield pa.RecordBatch.from_arrays([lists, pa.array(at - off[first]), pa.array(stop - at), binary_rows(grid.view(np.uint8), cut)], names=["doc_ids", "start", "n_tokens", "ids"])
 
-    return arrow_map(pick(docs), run, "doc_id long, seq_no long, n_tokens long, ids binary")
+    return arrow_map(pick(docs), run, "doc_ids array<long>, start long, n_tokens long, ids binary")
 
 
 def numbered(spark: SparkSession, table: str) -> tuple[DataFrame, int]:
@@ -103,7 +106,7 @@ def _filesystem(path: str):
 
 
 def materialise(docs: DataFrame, path: str, key: int, folder: str | None = None, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, end_id: int = 1) -> tuple[DataFrame, str]:
-    """docs -> (doc_id, seq_no, n_tokens, slot, shard, byte_offset, ids_crc32), and the folder with the shards.
+    """docs -> (doc_ids, start, n_tokens, slot, shard, byte_offset, ids_crc32), and the folder with the shards.
 
     Sequences are written once, numbered, permuted, and dealt by slot range, one partition per shard. A task writes
     its shard under another name and moves it into place, so that a repeated task leaves the same file; a shard that
@@ -123,7 +126,7 @@ def materialise(docs: DataFrame, path: str, key: int, folder: str | None = None,
             slot = permute(b.column(i).to_numpy(), total, key)
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != i), pa.array(slot), pa.array((slot // per_shard).astype(np.int32))], names=[*(n for n in b.schema.names if n != "index"), "slot", "shard"])
 
-    placed = arrow_map(rows, place, "doc_id long, seq_no long, n_tokens long, ids binary, slot long, shard int")
+    placed = arrow_map(rows, place, "doc_ids array<long>, start long, n_tokens long, ids binary, slot long, shard int")
     dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
 
     def put(batches):
@@ -151,9 +154,9 @@ def materialise(docs: DataFrame, path: str, key: int, folder: str | None = None,
                 at = (b.column(3).to_numpy() - shard * per_shard) * stride
                 data = f.read_at(len(at) * stride, int(at[0]))
                 crc = [zlib.crc32(data[x : x + stride]) for x in range(0, len(data), stride)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(crc, pa.int64())], names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "byte_offset", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(crc, pa.int64())], names=["doc_ids", "start", "n_tokens", "slot", "shard", "byte_offset", "ids_crc32"])
 
-    out = arrow_map(dealt, put, "doc_id long, seq_no long, n_tokens long, slot long, shard int, byte_offset long, ids_crc32 long")
+    out = arrow_map(dealt, put, "doc_ids array<long>, start long, n_tokens long, slot long, shard int, byte_offset long, ids_crc32 long")
     manifest = {"sequences": total, "seq_len": seq_len, "stride": stride, "per_shard": per_shard, "shards": shards if total else 0, "key": key, "dtype": "<u2"}
     system, root = _filesystem(folder)
     system.create_dir(root, recursive=True)
