@@ -151,43 +151,56 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, float, float]:
     return math.sqrt(sum(x[2] for x in found) / max(1, words)), max(x[2] for x in found), math.log1p(len(found)), math.log1p(words)
 
 
-def _lexicon(held: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Terms by the weight (log odds) with which texts that hold them are labelled toxic.
+class Held:
+    """Which candidate terms each labelled text holds, as arrays of term numbers; only terms of several toxic texts.
+
+    Hashed counts are taken first, so that terms of one or two texts (nearly all) never take memory.
+    """
+
+    def __init__(self, folded: list[str], labels: np.ndarray, least: int):
+        mask = (1 << 22) - 1
+        seen = np.zeros(mask + 1, np.int32)
+        toxic = [f for f, y in zip(folded, labels, strict=True) if y]
+        for f in toxic:
+            at = np.fromiter((hash(g) & mask for g in grams(f)), np.int64)
+            seen[np.unique(at)] += 1
+        counts: Counter[str] = Counter()
+        for f in toxic:
+            counts.update(g for g in grams(f) if seen[hash(g) & mask] >= least)
+        self.terms = sorted(g for g, n in counts.items() if n >= least)
+        number = {g: i for i, g in enumerate(self.terms)}
+        self.rows = [np.array(sorted(number[g] for g in grams(f) if g in number), np.int32) for f in folded]
+
+
+def _lexicon(held: Held, labels: np.ndarray, at: np.ndarray) -> dict[str, float]:
+    """Terms by the weight (log odds) with which those of the texts `at` that hold them are labelled toxic.
 
     Of many candidates only those stay whose log odds are several standard errors above nothing; of nested terms
     found in the same toxic texts the more telling one, so that inflected forms not seen in training match too.
     """
-    pos, neg = Counter(), Counter()
-    n_pos, n_neg = int(labels.sum()), int((1 - labels).sum())
-    for g, y in zip(held, labels, strict=True):
-        if y:
-            pos.update(g)
-    wanted = {g for g, n in pos.items() if n >= max(3, n_pos // 100)}
-    for g, y in zip(held, labels, strict=True):
-        if not y:
-            neg.update(g & wanted)
-    scored = []
-    for g in wanted:
-        a, b = pos[g], neg[g]
-        odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
-        z = odds / math.sqrt(1 / (a + 0.5) + 1 / (n_pos - a + 0.5) + 1 / (b + 0.5) + 1 / (n_neg - b + 0.5))
-        if z > 4 and odds > 2.2 and a > b:
-            scored.append((z, len(g), g, odds))
-    scored.sort(reverse=True)
-    scored = scored[: 4 * LEXICON]
-    chosen = {x[2] for x in scored}
-    where: dict[str, set[int]] = {}
-    for i, (g, y) in enumerate(zip(held, labels, strict=True)):
-        if y:
-            for x in g & chosen:
-                where.setdefault(x, set()).add(i)
-    out: dict[str, float] = {}
-    for _, _, g, odds in scored:
-        if not any((h in g or g in h) and len(where[g] - where[h]) <= len(where[g]) // 10 for h in out):
-            out[g] = min(odds, 8.0)
+    y, n = labels[at], len(held.terms)
+    rows = [held.rows[i] for i in at]
+    none = np.zeros(0, np.int32)
+    a = np.bincount(np.concatenate([none, *(r for r, t in zip(rows, y, strict=True) if t)]), minlength=n)[:n]
+    b = np.bincount(np.concatenate([none, *(r for r, t in zip(rows, y, strict=True) if not t)]), minlength=n)[:n]
+    n_pos, n_neg = y.sum(), (1 - y).sum()
+    odds = np.log((a + 0.5) / (n_pos - a + 0.5)) - np.log((b + 0.5) / (n_neg - b + 0.5))
+    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n_pos - a + 0.5) + 1 / (b + 0.5) + 1 / (n_neg - b + 0.5))
+    good = np.flatnonzero((a >= max(3, n_pos // 100)) & (z > 4) & (odds > 2.2) & (a > b))
+    best = sorted(good.tolist(), key=lambda k: (-z[k], -len(held.terms[k]), held.terms[k]))[: 4 * LEXICON]
+    where: dict[int, set[int]] = {k: set() for k in best}
+    for i, (r, t) in enumerate(zip(rows, y, strict=True)):
+        if t:
+            for k in r[np.isin(r, best)].tolist():
+                where[k].add(i)
+    out: dict[str, tuple[float, set[int]]] = {}
+    for k in best:
+        g, own = held.terms[k], where[k]
+        if not any((h in g or g in h) and len(own - other) <= len(own) // 10 for h, (_, other) in out.items()):
+            out[g] = (min(float(odds[k]), 8.0), own)
         if len(out) >= LEXICON:
             break
-    return out
+    return {g: w for g, (w, _) in out.items()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
@@ -212,16 +225,16 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     seeds = dict.fromkeys(SEEDS, 5.0)
     if y.sum() < 4 or (1 - y).sum() < 4:
         return Model(seeds, [-2.0, 1.0, 1.0, 1.0, 0.0], [0.3, 2.5, 0.5, 5.0], [0.3, 2.5, 0.5, 1.0])
-    held = [grams(fold(t)) for t in texts]
+    held = Held([fold(t) for t in texts], y, max(2, int(y.sum()) // 150))
     folds = np.arange(len(y)) % 3
     x = np.zeros((len(y), 4))
     for k in range(3):
-        m = Matcher(_lexicon([g for g, f in zip(held, folds, strict=True) if f != k], y[folds != k]) | seeds)
+        m = Matcher(_lexicon(held, y, np.flatnonzero(folds != k)) | seeds)
         for i in np.flatnonzero(folds == k):
             x[i] = features(texts[i], m)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     coef = _logistic((x - centre) / scale, y)
-    return Model(_lexicon(held, y) | seeds, coef, centre.tolist(), scale.tolist())
+    return Model(_lexicon(held, y, np.arange(len(y))) | seeds, coef, centre.tolist(), scale.tolist())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
