@@ -267,6 +267,7 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     ext = durable(extents(texts, window), "extents")
     met = ext.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor")
+    met = durable(met, "met")  # as a table of its own it leaves the join free to split an anchor that many texts share
     shared = durable(ext.join(met, "anchor", "left_semi"), "shared")
     least = shared.groupBy("anchor", "body").agg(F.min(F.struct("id", "tag")).alias("m"))
     least = durable(least.select("anchor", "body", F.col("m.id").alias("least"), F.col("m.tag").alias("least_tag")), "least")
