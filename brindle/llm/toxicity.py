@@ -53,7 +53,7 @@ def _table(accents: bool) -> dict[int, str]:
     return out
 
 
-INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013457@$]+(?=[^\W\d_]{2})")
+INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013457@$]+(?=[^\W\d_])")
 APART = re.compile(r"[\W_]+")
 
 
