@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, arrow_map, binary_rows, new_path, pick, ragged, text_bytes, text_slices
+from .common import CHUNK_BYTES, arrow_map, binary_rows, new_path, pick, ragged, text_slices
 from .packing import tokens_of
 
 #: Tokens of a sequence, and bytes of a stored one: unsigned 16-bit little-endian ids.
@@ -75,8 +75,8 @@ def sequences(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int =
             grid[: len(ids)] = ids
             names = b.column(0).take(pa.array(ragged(first, docs_in)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(docs_in)).astype(np.int32)), names)
-            cut = np.arange(len(at) + 1) * seq_len * 2
-            yield pa.RecordBatch.from_arrays([lists, pa.array(at - off[first]), pa.array(stop - at), binary_rows(grid.view(np.uint8), cut)], names=["doc_ids", "start", "n_tokens", "ids"])
+            rows = binary_rows(grid.view(np.uint8), np.arange(len(at) + 1) * seq_len * 2)
+            yield pa.RecordBatch.from_arrays([lists, pa.array(at - off[first]), pa.array(stop - at), rows], names=["doc_ids", "start", "n_tokens", "ids"])
 
     return arrow_map(pick(docs), run, "doc_ids array<long>, start long, n_tokens long, ids binary")
 
@@ -116,15 +116,17 @@ def materialise(docs: DataFrame, path: str, key: int, folder: str | None = None,
     spark = docs.sparkSession
     folder = folder or new_path(spark, "shards")
     flat = new_path(spark, "sequences")
-    sequences(docs, path, seq_len, end_id).write.option("compression", "zstd").parquet(flat)
+    sequences(docs, path, seq_len, end_id).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(flat)
     rows, total = numbered(spark, flat)
     stride, shards = seq_len * 2, max(1, -(-total // per_shard))
 
     def place(batches):
+        codec = pa.Codec("zstd", 3)  # the ids are shuffled compressed
         for b in batches:
             i = b.schema.get_field_index("index")
             slot = permute(b.column(i).to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != i), pa.array(slot), pa.array((slot // per_shard).astype(np.int32))], names=[*(n for n in b.schema.names if n != "index"), "slot", "shard"])
+            ids = pa.array([codec.compress(x, asbytes=True) for x in b.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids, pa.array(slot), pa.array((slot // per_shard).astype(np.int32))], names=["doc_ids", "start", "n_tokens", "ids", "slot", "shard"])
 
     placed = arrow_map(rows, place, "doc_ids array<long>, start long, n_tokens long, ids binary, slot long, shard int")
     dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
@@ -139,13 +141,14 @@ def materialise(docs: DataFrame, path: str, key: int, folder: str | None = None,
         shard = head.column(5)[0].as_py()
         name = posixpath.join(root, f"shard-{shard:06d}.bin")
         there = system.get_file_info(name).size == min(per_shard, total - shard * per_shard) * stride
+        codec = pa.Codec("zstd")
         temp = f"{name}.{uuid.uuid4().hex}.tmp"
         kept = []
         sink = None if there else system.open_output_stream(temp)
         for b in itertools.chain([head], batches):
             kept.append(b.drop_columns(["ids"]))
             if sink is not None:
-                sink.write(text_bytes(b.column(3))[0].tobytes())
+                sink.write(b"".join(codec.decompress(x, stride, asbytes=True) for x in b.column(3).to_pylist()))
         if sink is not None:
             sink.close()
             system.move(temp, name)
