@@ -455,11 +455,11 @@ def penalised_likelihood(spark, sf_dir):
     return one(spark, nll=round(v, 2), d_re=round(g[0], 3), d_im=round(g[1], 3))
 
 
-@query(f"SELECT round(sum(l_quantity * {I_SQL}), 3) AS total, 'statistics' AS strategy FROM lineitem WHERE {MC}")
+@query(f"SELECT round(sum(l_quantity * {I_SQL}), 5) AS total, 'statistics' AS strategy FROM lineitem WHERE {MC}")
 def normalization_statistics(spark, sf_dir):
     """One pass for the bases' sums; the value then costs no job."""
     n = Normalization(items(spark, sf_dir, MC), intensity())
-    return spark.createDataFrame([(round(n.value(POINT)[0], 3), n.strategy)], "total double, strategy string")
+    return spark.createDataFrame([(round(n.value(POINT)[0], 5), n.strategy)], "total double, strategy string")
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES (0, 0.7, -0.4), (1, 0.1, 0.2), (2, -0.5, 0.3)) v(draw, re, im)), d AS (SELECT draw, sum(l_quantity * ln(power(1 + re * l_discount * 10, 2) + power(im * l_discount * 10, 2) + 0.1)) AS l, sum(l_quantity) AS w FROM lineitem, t WHERE l_linestatus = 'O' GROUP BY draw),
@@ -470,10 +470,10 @@ def nll_many_points(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(x), 2)) for k, x in enumerate(v)], "draw int, nll double")
 
 
-@query(f"SELECT round(sum(l_quantity * ln({I_SQL})), 3) AS log_sum, round(sum(l_quantity * {I_SQL}), 3) AS sum FROM lineitem")
+@query(f"SELECT round(sum(l_quantity * ln({I_SQL})), 3) AS log_sum, round(sum(l_quantity * {I_SQL}), 5) AS sum FROM lineitem")
 def reductions(spark, sf_dir):
     ds = items(spark, sf_dir)
-    return one(spark, log_sum=round(reduce(ds, intensity(), LOG, POINT)[0], 3), sum=round(reduce(ds, intensity(), "positive", POINT)[0], 3))
+    return one(spark, log_sum=round(reduce(ds, intensity(), LOG, POINT)[0], 3), sum=round(reduce(ds, intensity(), "positive", POINT)[0], 5))
 
 
 SLOPE_SQL = "(power(0.7 * l_discount * 10, 2) + power(0.4 * l_discount * 10, 2) + 0.1)"
@@ -566,3 +566,38 @@ def generate_closure_channel(spark, sf_dir):
         {"production": gen.VertexProposal.t_exchange(("beam", "x"), 4.0, 0.2)},
     )
     return g.weighted(spark, 8192, 3).frame
+
+
+@query("""SELECT event_id, round(power(value / 100 * 0.5 + 1, 2) + 0.09 * power(value / 100, 2), 10) AS value, round(2 * (value / 100 * 0.5 + 1) * value / 100, 10) AS d_re, round(0.6 * power(value / 100, 2), 10) AS d_im FROM events""")
+def model_gradient(spark, sf_dir):
+    """A model's value and derivatives for every event, in one projection."""
+    from .model import Model
+
+    m = Model((1.0 + complex_(parameter("re", 0.5), parameter("im", 0.3)) * (VALUE / 100.0)).norm_sqr())
+    return m.evaluate_with_gradient(clicks(spark, sf_dir)).select(F.col(ID).alias("event_id"), *[F.round(c, 10).alias(c) for c in ("value", "d_re", "d_im")])
+
+
+@query("SELECT round(covar_samp(l_discount, l_discount), 10) AS dd, round(covar_samp(l_discount, l_tax), 10) AS dt, round(covar_samp(l_tax, l_tax), 10) AS tt FROM lineitem")
+def covariance(spark, sf_dir):
+    from .model import covariance as cov
+
+    c = cov(item_frame(spark, sf_dir), ["discount", "tax"])
+    return one(spark, dd=round(c[0, 0], 10), dt=round(c[0, 1], 10), tt=round(c[1, 1], 10))
+
+
+@query(f"SELECT round(sum(l_quantity * ln({I_SQL})), 3) AS log_sum FROM lineitem")
+def cached_reduction(spark, sf_dir):
+    """The same sum over columns that hold the model's parameter-free parts."""
+    from .model import Model
+
+    ds, m = Model(intensity()).cached(items(spark, sf_dir))
+    out = one(spark, log_sum=round(m.value_and_gradient(ds, POINT, LOG)[0], 3))
+    ds.streaming()
+    return out
+
+
+@query("SELECT round(avg(value), 6) AS value, CAST(NULL AS DOUBLE) AS none FROM events WHERE FALSE")
+def empty_selection(spark, sf_dir):
+    """A selection without events reduces to nothing, not to an error."""
+    ds = clicks(spark, sf_dir).select(VALUE < -1.0)
+    return ds.frame.agg(F.round(F.avg("value"), 6).alias("value"), F.lit(None).cast("double").alias("none"))
