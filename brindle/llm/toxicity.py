@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, arrow_map, pick, pick_columns, text_slices
 
 #: At most so many labelled rows, and so many bytes of their texts, teach the lexicon (on the driver).
-TRAIN_ROWS, TRAIN_BYTES = 4000, 24 << 20
+TRAIN_ROWS, TRAIN_BYTES = 4000, 16 << 20
 #: At most so many lexicon entries.
 LEXICON = 1500
 
@@ -37,48 +38,53 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 
 
 
-@functools.lru_cache(2)
-def _table(accents: bool) -> dict[int, str]:
+@functools.lru_cache(1)
+def _table() -> dict[int, str]:
     """Letters beyond ASCII, up to the Cyrillic block, to lower-case Latin ones where they look alike; others and
-    invisible signs as they fold. With `accents`, letters of Latin alphabets keep theirs."""
-    import unicodedata
-
+    invisible signs as they fold. Letters of Latin alphabets keep their accents, which tell words apart."""
     out = {}
     for i in [*range(0x80, 0x530), *range(0x1E00, 0x2000), *range(0xFF00, 0xFF5F)]:
         c = unicodedata.normalize("NFKC", chr(i)).lower()
-        if not (accents and "LATIN" in unicodedata.name(chr(i), "") and i < 0x250):
+        if not ("LATIN" in unicodedata.name(chr(i), "") and i < 0x250):
             c = "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         out[i] = c
     out |= {i: "" for i in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
     return out
 
 
-INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[013457@$]+(?=[^\W\d_])")
+#: What the table changes, and more: ASCII and the small letters of Latin-1 stay as they are.
+FOLDED = re.compile("[^\x00-\x7f\xdf-\xff]")
+INSIDE = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
 APART = re.compile(r"[\W_]+")
+#: ASCII signs to spaces.
+SIGNS = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def _plain(m: re.Match) -> str:
-    return "".join(SUBSTITUTES[c] for c in m[0])
+    """Letters for digits and signs after a letter, and for digits and @ or $ at a word's start."""
+    before = m.string[m.start() - 1 : m.start()]
+    if before.isalpha() or not (before.isalnum() or before == "_" or "!" in m[0] or "|" in m[0]):
+        return "".join(SUBSTITUTES[c] for c in m[0])
+    return m[0]
 
 
-def fold(text: str, accents: bool = True) -> str:
+def fold(text: str) -> str:
     """A text's words in lower case, parted by one space, one at each end: plain letters for homoglyphs and invisible
-    signs gone, letters for digits and signs inside words, and without `accents` plain letters for accented ones."""
+    signs gone, and letters for digits and signs inside words."""
     text = text.lower()
-    if not text.isascii():
-        text = text.translate(_table(accents))
-    return f" {APART.sub(' ', INSIDE.sub(_plain, text)).strip()} "
-
-
-def grams(folded: str, low: int = 4, high: int = 9) -> set[str]:
-    """The different substrings of `low` to `high` characters of a text's words, and the words, with the spaces beside."""
-    out = set()
-    for w in set(folded.split()):
-        w = f" {w} "
-        if len(w) <= 26:
-            out.add(w)
-        for n in range(low, min(high, len(w)) + 1):
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
+    if not text.isascii() and FOLDED.search(text):
+        text = text.translate(_table())
+    text = INSIDE.sub(_plain, text)
+    text = " ".join(text.translate(SIGNS).split()) if text.isascii() else APART.sub(" ", text).strip()
+    return f" {text} "
+
+
+def grams(word: str, low: int = 4, high: int = 9) -> set[str]:
+    """The different substrings of `low` to `high` characters of a word with the spaces beside it, and the word itself."""
+    w = f" {word} "
+    out = {w} if len(w) <= 26 else set()
+    for n in range(low, min(high, len(w)) + 1):
+        out.update(w[i : i + n] for i in range(len(w) - n + 1))
     return out
 
 
@@ -114,11 +120,10 @@ class Matcher:
         self.seeds = _automaton(tuple(sorted((w, weights[w]) for w in SEEDS if w in weights)), exceptions)
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        out = hits(fold(text), self.all)
-        if not text.isascii():
-            bare = fold(text, accents=False)
-            if not out and len(self.seeds):
-                out = hits(bare, self.seeds)
+        folded = fold(text)
+        out = hits(folded, self.all)
+        if not out and len(self.seeds) and not folded.isascii():
+            out = hits(unicodedata.normalize("NFKD", folded).encode("ascii", "ignore").decode(), self.seeds)
         return out
 
 
@@ -154,22 +159,36 @@ def features(text: str, matcher: Matcher) -> tuple[float, float, float, float]:
 class Held:
     """Which candidate terms each labelled text holds, as arrays of term numbers; only terms of several toxic texts.
 
-    Hashed counts are taken first, so that terms of one or two texts (nearly all) never take memory.
+    Words are looked at once each. Hashed counts are taken first, so that terms of one or two texts (nearly all) never
+    take memory.
     """
 
-    def __init__(self, folded: list[str], labels: np.ndarray, least: int):
+    def __init__(self, texts: list[str], labels: np.ndarray, least: int):
         mask = (1 << 22) - 1
+        number: dict[str, int] = {}
+        rows: list[np.ndarray] = []  # each text's different words, by number
+        for t in texts:
+            rows.append(np.array(sorted({number.setdefault(w, len(number)) for w in fold(t).split()}), np.int32))
+        words = list(number)
+        del number
+        toxic = [r for r, y in zip(rows, labels, strict=True) if y]
+        none = np.zeros(0, np.int32)
         seen = np.zeros(mask + 1, np.int32)
-        toxic = [f for f, y in zip(folded, labels, strict=True) if y]
-        for f in toxic:
-            at = np.fromiter((hash(g) & mask for g in grams(f)), np.int64)
-            seen[np.unique(at)] += 1
+        of_toxic = np.unique(np.concatenate([none, *toxic])).tolist()
+        hashed = {k: np.fromiter((hash(g) & mask for g in grams(words[k])), np.int32) for k in of_toxic}
+        for r in toxic:
+            seen[np.unique(np.concatenate([none, *(hashed[k] for k in r.tolist())]))] += 1
+        del hashed
         counts: Counter[str] = Counter()
-        for f in toxic:
-            counts.update(g for g in grams(f) if seen[hash(g) & mask] >= least)
+        pool: dict[str, str] = {}  # one string for each term, however many words hold it
+        often = {k: found for k in of_toxic if (found := [pool.setdefault(g, g) for g in grams(words[k]) if seen[hash(g) & mask] >= least])}
+        for r in toxic:
+            counts.update({g for k in r.tolist() for g in often.get(k, ())})
+        del often, seen, pool
         self.terms = sorted(g for g, n in counts.items() if n >= least)
-        number = {g: i for i, g in enumerate(self.terms)}
-        self.rows = [np.array(sorted(number[g] for g in grams(f) if g in number), np.int32) for f in folded]
+        at = {g: i for i, g in enumerate(self.terms)}
+        known = {k: np.array(found, np.int32) for k, w in enumerate(words) if (found := [at[g] for g in grams(w) if g in at])}
+        self.rows = [np.unique(np.concatenate([none, *(known[k] for k in r.tolist() if k in known)])) for r in rows]
 
 
 def _lexicon(held: Held, labels: np.ndarray, at: np.ndarray) -> dict[str, float]:
@@ -225,7 +244,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     seeds = dict.fromkeys(SEEDS, 5.0)
     if y.sum() < 4 or (1 - y).sum() < 4:
         return Model(seeds, [-2.0, 1.0, 1.0, 1.0, 0.0], [0.3, 2.5, 0.5, 5.0], [0.3, 2.5, 0.5, 1.0])
-    held = Held([fold(t) for t in texts], y, max(2, int(y.sum()) // 150))
+    held = Held(texts, y, max(2, int(y.sum()) // 150))
     folds = np.arange(len(y)) % 3
     x = np.zeros((len(y), 4))
     for k in range(3):
