@@ -18,7 +18,7 @@ SEQ_LEN = 2048
 #: UTF-8 bytes of text per randomised group: about a thousand sequences, so that a last, part-filled bin weighs little.
 GROUP_BYTES = 8 << 20
 #: Different words whose ids a Python worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 #: Marks after a word that form a token of their own beside its letters.
 TAIL = b".,!?;:"
 #: Parts words that are encoded in one call; the words themselves are free of "<|".
@@ -50,41 +50,66 @@ class WordTokenizer:
 
         self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
+        self.is_end = np.zeros(self.plain.get_vocab_size(), bool)
+        self.is_end[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
         self.known: dict[bytes, int] = {b"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
+        self.ends = np.zeros(1 << 16, np.int64)  # of each known word's ids in flat
+        self.count = 1
 
     def _learn(self, words: list[bytes]):
-        for at in range(0, len(words), 20_000):
-            part = [w.decode() for w in words[at : at + 20_000]]
-            odd = [k for k, w in enumerate(part) if "<|" in w]
-            own = {k: self.plain.encode(part[k], add_special_tokens=False).ids for k in odd}
-            for k in odd:
-                part[k] = MARK[:1]
-            texts = [f" {MARK} ".join(part[k : k + 200]) for k in range(0, len(part), 200)]
-            for c, e in enumerate(self.marked.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, np.uint32)
-                cut = np.append(np.flatnonzero(ids == MARK_ID), len(ids))
-                keep = ids[ids != MARK_ID]
-                ends = cut - np.arange(len(cut))
-                for k in (k for k in own if c * 200 <= k < (c + 1) * 200):
-                    n = k - c * 200
-                    a, b = (ends[n - 1] if n else 0), ends[n]
-                    keep = np.concatenate([keep[:a], np.array(own[k], np.uint32), keep[b:]])
-                    ends[n:] += len(own[k]) - (b - a)
-                self._append(keep, ends)
+        """Encodes words, many to a call. A word of letters is one match, whose last id alone ends a word: their ends
+        show in the ids. Others are parted by a special token."""
+        texts = [w.decode() for w in words]
+        simple = [t.isalpha() and t.lower().isalpha() for t in texts]
         first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        kept: list[bytes] = []
+        for wanted, encode in ((True, self._simple), (False, self._marked)):
+            own = [k for k, x in enumerate(simple) if x is wanted]
+            for at in range(0, len(own), 20_000):
+                encode([texts[k] for k in own[at : at + 20_000]])
+            kept += [words[k] for k in own]
+        self.known.update(zip(kept, range(first, first + len(kept)), strict=True))
+
+    def _simple(self, part: list[str]):
+        chunks = [part[k : k + 200] for k in range(0, len(part), 200)]
+        for own, e in zip(chunks, self.plain.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(own):
+                self._append(ids, ends)
+            else:
+                self._marked(own)
+
+    def _marked(self, part: list[str]):
+        odd = [k for k, w in enumerate(part) if "<|" in w]
+        own = {k: self.plain.encode(part[k], add_special_tokens=False).ids for k in odd}
+        part = [MARK[:1] if k in own else w for k, w in enumerate(part)]
+        texts = [f" {MARK} ".join(part[k : k + 200]) for k in range(0, len(part), 200)]
+        for c, e in enumerate(self.marked.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.append(np.flatnonzero(ids == MARK_ID), len(ids))
+            keep = ids[ids != MARK_ID]
+            ends = cut - np.arange(len(cut))
+            for k in (k for k in own if c * 200 <= k < (c + 1) * 200):
+                n = k - c * 200
+                a, b = (ends[n - 1] if n else 0), ends[n]
+                keep = np.concatenate([keep[:a], np.array(own[k], np.uint32), keep[b:]])
+                ends[n:] += len(own[k]) - (b - a)
+            self._append(keep, ends)
 
     def _append(self, ids: np.ndarray, ends: np.ndarray):
-        used = self.ends[-1]
+        used, n = int(self.ends[self.count - 1]), self.count
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(ends) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[used : used + len(ids)] = ids
-        self.ends += (ends + used).tolist()
+        self.ends[n : n + len(ends)] = ends + used
+        self.count += len(ends)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different words one after another, and the number of ids of each."""
@@ -95,10 +120,9 @@ class WordTokenizer:
         if new:
             self._learn(new)
         number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        ends = np.array(self.ends)
-        first = np.append(0, ends[:-1])
-        n = (ends - first)[number]
-        return self.flat[ragged(first[number], n)], n.reshape(-1, 2).sum(axis=1)
+        first = np.where(number > 0, self.ends[number - 1], 0)
+        n = self.ends[number] - first
+        return self.flat[ragged(first, n)], n.reshape(-1, 2).sum(axis=1)
 
 
 @functools.lru_cache(2)
