@@ -254,8 +254,7 @@ class Dataset:
             p = low.pairs()[0]
             return low.frame.select(ID, p.re.alias("re"), p.imag.alias("im"))
         except NotLowerable:
-            names, need = self.schema.columns(), sorted(e.columns())
-            del names
+            need = sorted(e.columns())
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:

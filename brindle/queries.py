@@ -24,7 +24,7 @@ from .operators.predicate import between
 from .operators.reduce import LOG, reduce, weighted_sums
 from .plans.expr import Expr, acos, atan2, cis, complex_, dot, matrix, matvec, parameter, polar_complex, scalar, solve, vector
 from .plans.lower import Lowered
-from .sources.parquet import read_frame
+from .sources.parquet import read_frame, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,12 +45,8 @@ def query(sql: str | None = None):
 
 def items(spark: SparkSession, sf_dir: str, where: str | None = None, weighted: bool = True) -> Dataset:
     """lineitem as events: price, discount, tax, quantity; the quantity is the weight too."""
-    frame = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    if where:
-        frame = frame.where(where)
-    frame = frame.withColumn("__row", F.monotonically_increasing_id())
     cols = {"price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax", "quantity": "l_quantity"}
-    return read_frame(frame, "__row", **cols, **({"weight": "l_quantity"} if weighted else {}))
+    return read_parquet(spark, f"{sf_dir}/lineitem.parquet", rename=cols | ({"weight": "l_quantity"} if weighted else {}), where=where, nulls="trust")
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -180,13 +176,6 @@ def histogram_uniform(spark, sf_dir):
 
 
 # splitmix64 in SQL, over 128-bit integers
-def _u(seed: int) -> str:
-    m, a = "18446744073709551616", "CAST(xor(event_id::UBIGINT, {}::UBIGINT) AS UHUGEINT)".format(seed)
-    z0 = f"(({a} + 11400714819323198485) % {m})"
-    z1 = f"((CAST(xor({z0}::UBIGINT, ({z0}::UBIGINT >> 30)) AS UHUGEINT) * 13787848793156543929) % {m})"
-    return z0, z1, m
-
-
 def _uniform_sql(seed: int) -> str:
     return f"""WITH a AS (SELECT event_id, value, CAST((CAST(xor(event_id::UBIGINT, {seed}::UBIGINT) AS UHUGEINT) + 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS z FROM events),
 b AS (SELECT event_id, value, CAST((CAST(xor(z, z >> 30) AS UHUGEINT) * 13787848793156543929) % 18446744073709551616 AS UBIGINT) AS z FROM a),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..dataset import ID, Dataset
 from ..schema import EventSchema, SchemaError
@@ -26,43 +27,47 @@ def resolve(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     return out
 
 
-def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: EventSchema | None = None, columns: Sequence[str] | None = None, nulls: str = "error", validate: bool = True, rename: dict[str, str] | None = None, **infer) -> Dataset:
+def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: EventSchema | None = None, columns: Sequence[str] | None = None, nulls: str = "error", validate: bool = True, rename: dict[str, str] | None = None, where: str | None = None, **infer) -> Dataset:
     """Events of Parquet files. Ids follow the files in name order, then the rows.
 
-    Only columns of the schema are read. A null is an error (`nulls="error"`, raised when the events are read) or NaN.
-    `columns` restricts inference; `rename` maps physical names to event names, cast to double.
+    Only columns of the schema are read. A null is an error (`nulls="error"`, raised when the events are read) or NaN; with
+    "trust" the files are said to hold none, and then predicates reach the scan.
+    `columns` restricts inference; `rename` maps event names to SQL expressions of physical columns, cast to double. `where` is a
+    condition on any physical columns that reaches the scan; ids then keep the rows' places in the files.
     """
     paths = resolve(spark, path)
-    frame = spark.read.parquet(*paths)
+    frame = source = spark.read.parquet(*paths)
+    if where:
+        frame = frame.where(where)
     if rename:
-        frame = frame.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in rename.items()], "_metadata")
+        frame = frame.select(*[F.expr(x).cast("double").alias(n) for n, x in rename.items()], "_metadata")
     if columns:
         frame = frame.select(*[f"`{c}`" for c in columns], "_metadata")
-    plain = [f for f in frame.schema if f.name != "_metadata"]
-    from pyspark.sql.types import StructType
-
-    kinds = StructType(plain)
+    kinds = StructType([f for f in frame.schema if f.name != "_metadata"])
     schema = schema or EventSchema.infer(kinds, **infer)
     if validate:
         schema.check(kinds)
-    if nulls not in ("error", "nan"):
+    if nulls not in ("error", "nan", "trust"):
         raise ValueError(f"nulls={nulls}")
     cols = []
     for c in schema.columns():
         x = F.col(f"`{c}`").cast("double")
+        if nulls == "trust":
+            cols.append(x.alias(c))
+            continue
         gone = F.lit(float("nan")) if nulls == "nan" else F.raise_error(F.lit(f"null in column {c}")).cast("double")
         cols.append(F.coalesce(x, gone).alias(c))
     file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    counts = sorted((r["f"], r["n"]) for r in frame.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = sorted((r["f"], r["n"]) for r in source.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
     if len(counts) <= 1:
-        return Dataset(frame.select(*cols, at.cast("long").alias(ID)), schema)
+        return Dataset(frame.select(*cols, at.cast("long").alias(ID)), schema, dense=not where)
     before, rows = 0, []
     for f, n in counts:
         rows.append((f, before))
         before += n
     offsets = F.broadcast(spark.createDataFrame(rows, "__file string, __before long"))
     joined = frame.withColumn("__f", file).withColumn("__at", at).join(offsets, F.col("__f") == F.col("__file"))
-    return Dataset(joined.select(*cols, (F.col("__before") + F.col("__at")).alias(ID)), schema)
+    return Dataset(joined.select(*cols, (F.col("__before") + F.col("__at")).alias(ID)), schema, dense=not where)
 
 
 class ParquetSource:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..dataset import Dataset
+from ..dataset import ID, Dataset
 
 
 def read_root(spark: SparkSession, path: str, tree: str | None = None, columns: list[str] | None = None) -> Dataset:
@@ -20,3 +20,14 @@ def read_root(spark: SparkSession, path: str, tree: str | None = None, columns:
         frame = f[tree or names[0]].arrays(columns, library="pd")
     frame["_row"] = range(len(frame))
     return Dataset.from_frame(spark.createDataFrame(frame), id_col="_row")
+
+
+def write_root(ds: Dataset, path: str, tree: str = "events") -> None:
+    """Events as one tree of doubles, on the driver."""
+    try:
+        import uproot
+    except ImportError:
+        raise NotImplementedError("writing ROOT files needs the uproot library, which is not installed") from None
+    frame = ds.frame.orderBy(ID).select(*[f"`{c}`" for c in ds.schema.columns()]).toPandas()
+    with uproot.recreate(path) as f:
+        f[tree] = {c: frame[c].to_numpy() for c in frame.columns}
