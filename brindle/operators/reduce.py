@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..plans.evaluate import evaluate
-from ..plans.expr import Expr
+from ..plans.expr import Expr, vector
 from ..plans.lower import Lowered, NotLowerable
 from ..plans.rewrite import derivative, simplify
 
@@ -41,12 +41,15 @@ def _kernel_sums(ds, exprs: Sequence[Expr], values) -> np.ndarray:
     """Partial sums per Arrow batch from the NumPy kernel, then one aggregate."""
     need = sorted(set().union(*(e.columns() for e in exprs)))
     n = 2 * len(exprs)
+    every = vector(exprs).merged()  # equal parts are computed once for all
 
     def run(batches):
         for b in batches:
             cols = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(need, 1)}
             w = b.column(0).to_numpy(zero_copy_only=False)
-            z = [(w * evaluate(e, cols, values, b.num_rows)).sum() if b.num_rows else 0j for e in exprs]
+            if not b.num_rows:
+                continue
+            z = (w[:, None] * evaluate(every, cols, values, b.num_rows)).sum(axis=0)
             flat = [x for v in z for x in (complex(v).real, complex(v).imag)]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in flat], names=[f"s{i}" for i in range(n)])
 
@@ -88,6 +91,7 @@ def reduce(ds, expr: Expr, transform: str = REAL, values: Mapping[str, float] |
 def _kernel_reduce(ds, root: Expr, grads: list[Expr], transform: str, values):
     need = sorted(set().union(*(e.columns() for e in [root, *grads])))
     names = ["value", "bad", *(f"g{i}" for i in range(len(grads)))]
+    every = vector([root, *grads]).merged()
 
     def run(batches):
         for b in batches:
@@ -95,14 +99,14 @@ def _kernel_reduce(ds, root: Expr, grads: list[Expr], transform: str, values):
                 continue
             cols = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(need, 1)}
             w = b.column(0).to_numpy(zero_copy_only=False)
-            x = evaluate(root, cols, values, b.num_rows).real
+            v = evaluate(every, cols, values, b.num_rows).real
+            x = v[:, 0]
             bad = ~(x > 0)
             safe = np.where(bad, 1.0, x)
             row = [(w * (np.log(safe) if transform == LOG else x)).sum(), float(bad.sum())]
-            for g in grads:
-                d = evaluate(g, cols, values, b.num_rows).real
+            for d in v.T[1:]:
                 row.append((w * (d / safe if transform == LOG else d)).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in row], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([float(y)]) for y in row], names=names)
 
     frame = ds.frame.select(ds.weight.alias("__w"), *[f"`{c}`" for c in need]).mapInArrow(run, ", ".join(f"{n} double" for n in names))
     r = [float(v) for v in frame.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first()]

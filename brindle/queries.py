@@ -397,7 +397,8 @@ def k_matrix_one_channel(spark, sf_dir):
 def k_matrix_five_channels(spark, sf_dir):
     """The sum over events of the five-channel f0 intensities; batched linear solves in the NumPy kernel."""
     f = ls.kopf_f0(S, [1.0, 0.5, cis(0.3), 0.2, 0.1])
-    return one(spark, **{f"channel_{k}": weighted_sums(items(spark, sf_dir), [f[k].norm_sqr()])[0].real for k in range(2)})
+    sums = weighted_sums(items(spark, sf_dir), [f[k].norm_sqr() for k in range(5)])
+    return one(spark, **{f"channel_{k}": s.real for k, s in enumerate(sums)})
 
 
 # -- likelihoods --------------------------------------------------------------------------------------------------------
