@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import Words, arrow_map, binary_rows, durable, pick_columns, ragged, text_slices
+from .urls import bloom, passing
 
 #: Words of a window.
 WINDOW = 50
@@ -259,11 +260,18 @@ def _wanted(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("id", "tag", "anchor", "body"), run, "id long, tag int, want long")
 
 
+def _some(texts: DataFrame, wants: DataFrame) -> DataFrame:
+    """The texts whose id may be one of those wanted; a superset, whatever the filter's bound lets through."""
+    filt, blocks = bloom(wants.select(F.col("id").alias("url")), wants.count())
+    rows, hit = passing(texts.select("id", "tag", "text"), F.col("id"), filt, blocks, "inner")
+    return rows.where(hit).select("id", "tag", "text")
+
+
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """texts (id, tag, text, ...) -> id, tag, first, n: word spans covered by windows that also start in a text of smaller id.
 
-    Texts are shuffled once, by (id, tag), with all their columns: a caller's join of the result with the same texts
-    needs the same exchange, which Spark then makes once for the query.
+    Only texts that show windows are shuffled: a Bloom filter of bounded size keeps nearly all others from the exact join.
+    Counts and least ids are taken before any shuffle, and joins on them can be split where many texts share a key.
     """
     ext = durable(extents(texts, window), "extents")
     met = ext.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor")
@@ -275,10 +283,10 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     several = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     show = least.join(several, "anchor", "left_semi").select(F.col("least").alias("id"), F.col("least_tag").alias("tag"), "anchor", "body")
     wants = durable(_wanted(show).groupBy("id", "tag").agg(F.collect_set("want").alias("wants")), "wants")
-    rest = [c for c in texts.columns if c not in ("id", "tag")]
-    shown = _windows(texts.join(wants, ["id", "tag"]).select("id", "tag", "wants", *rest), window)
-    least_of = F.min("id").over(Window.partitionBy("anchor", "body"))
-    single = shown.withColumn("least", least_of).where("id > least").select("id", "tag", "first", F.lit(window).alias("n"))
+    shown = durable(_windows(_some(texts, wants).join(wants, ["id", "tag"]).select("id", "tag", "wants", "text"), window), "windows")
+    first = shown.groupBy("anchor", "body").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    first = durable(first.drop("most"), "first")
+    single = shown.join(first, ["anchor", "body"]).where("id > least").select("id", "tag", "first", F.lit(window).alias("n"))
     return whole.union(single)
 
 

@@ -72,6 +72,15 @@ def bloom(listed: DataFrame, count: int) -> tuple[DataFrame, int]:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(8)]), blocks
 
 
+def passing(rows: DataFrame, key: Column, filt: DataFrame, blocks: int, how: str) -> tuple[DataFrame, Column]:
+    """rows joined with the broadcast filter's blocks, and whether the filter lets the key pass (null where no block
+    holds it). `key` may be of any type that the filter was made of."""
+    hit = F.col("block").isNotNull()
+    for k, w in enumerate(_words(key)):
+        hit = hit & (w.bitwiseAND(F.col(f"w{k}")) == w)
+    return rows.withColumn("slot", _block(key, blocks)).join(F.broadcast(filt), F.col("slot") == F.col("block"), how), hit
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """pages (page_id, url) -> page_id, host, path, canonical, rule, verdict: the fitting rule's, else block for a listed
     canonical URL and allow for any other.
@@ -87,11 +96,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     exact = durable(listed.select(F.col("url").cast("string").alias("url")).where("url is not null and url <> ''").distinct(), "listed")
     filt, blocks = bloom(exact, exact.count())
     key = F.when(F.col("verdict").isNull() & (F.col("canonical") != ""), F.col("canonical"))
-    hit = F.lit(True)
-    for k, w in enumerate(_words(F.col("canonical"))):
-        hit = hit & (w.bitwiseAND(F.col(f"w{k}")) == w)
-    probed = rows.withColumn("slot", _block(key, blocks)).join(F.broadcast(filt), F.col("slot") == F.col("block"), "left")
-    probed = probed.withColumn("possible", key.isNotNull() & F.col("block").isNotNull() & hit)
+    probed, hit = passing(rows, key, filt, blocks, "left")
+    probed = probed.withColumn("possible", F.coalesce(key.isNotNull() & hit, F.lit(False)))
     cols = ["page_id", "host", "path", "canonical", "rule"]
     sure = probed.where("not possible").select(*cols, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     known = exact.withColumn("known", F.lit(True))
