@@ -18,7 +18,7 @@ SEQ_LEN = 2048
 #: UTF-8 bytes of text per randomised group: about a thousand sequences, so that a last, part-filled bin weighs little.
 GROUP_BYTES = 8 << 20
 #: Different words whose ids a Python worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: Marks after a word that form a token of their own beside its letters.
 TAIL = b".,!?;:"
 #: Parts words that are encoded in one call; the words themselves are free of "<|".
@@ -48,10 +48,10 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.is_end = np.zeros(self.plain.get_vocab_size(), bool)
-        self.is_end[[i for t, i in self.plain.get_vocab().items() if t.endswith("</w>")]] = True
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.is_end = np.zeros(self.tok.get_vocab_size(), bool)
+        self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
@@ -76,7 +76,7 @@ class WordTokenizer:
 
     def _simple(self, part: list[str]):
         chunks = [part[k : k + 200] for k in range(0, len(part), 200)]
-        for own, e in zip(chunks, self.plain.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        for own, e in zip(chunks, self.tok.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) == len(own):
@@ -86,10 +86,13 @@ class WordTokenizer:
 
     def _marked(self, part: list[str]):
         odd = [k for k, w in enumerate(part) if "<|" in w]
-        own = {k: self.plain.encode(part[k], add_special_tokens=False).ids for k in odd}
+        own = {k: self.tok.encode(part[k], add_special_tokens=False).ids for k in odd}
         part = [MARK[:1] if k in own else w for k, w in enumerate(part)]
         texts = [f" {MARK} ".join(part[k : k + 200]) for k in range(0, len(part), 200)]
-        for c, e in enumerate(self.marked.encode_batch_fast(texts, add_special_tokens=False)):
+        self.tok.encode_special_tokens = False
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        self.tok.encode_special_tokens = True
+        for c, e in enumerate(found):
             ids = np.array(e.ids, np.uint32)
             cut = np.append(np.flatnonzero(ids == MARK_ID), len(ids))
             keep = ids[ids != MARK_ID]
