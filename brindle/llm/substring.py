@@ -280,7 +280,7 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     least = shared.groupBy("anchor", "body").agg(F.min(F.struct("id", "tag")).alias("m"))
     least = durable(least.select("anchor", "body", F.col("m.id").alias("least"), F.col("m.tag").alias("least_tag")), "least")
     whole = shared.join(least, ["anchor", "body"]).where("id > least").select("id", "tag", "first", (F.col("n") + (window - 1)).alias("n"))
-    several = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    several = durable(least.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "several")
     show = least.join(several, "anchor", "left_semi").select(F.col("least").alias("id"), F.col("least_tag").alias("tag"), "anchor", "body")
     wants = durable(_wanted(show).groupBy("id", "tag").agg(F.collect_set("want").alias("wants")), "wants")
     shown = durable(_windows(_some(texts, wants).join(wants, ["id", "tag"]).select("id", "tag", "wants", "text"), window), "windows")
