@@ -51,7 +51,7 @@ def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit_apart(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     rows = toxicity.score(docs, model)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

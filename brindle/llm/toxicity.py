@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import pickle
 import re
+import subprocess
+import sys
 import unicodedata
 from collections import Counter
 
@@ -256,6 +260,15 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return Model(_lexicon(held, y, np.arange(len(y))) | seeds, coef, centre.tolist(), scale.tolist())
 
 
+def fit_apart(texts: list[str], toxic: list[int]) -> Model:
+    """fit in a process of its own, whose memory is given back when it ends; the driver keeps only the model."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])}
+    code = "import pickle, sys; from brindle.llm.toxicity import fit; pickle.dump(fit(*pickle.load(sys.stdin.buffer)), sys.stdout.buffer)"
+    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps((texts, toxic)), stdout=subprocess.PIPE, env=env, check=True)
+    return pickle.loads(done.stdout)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded sample of the labelled rows outside the held-out fifth, in a hash order of doc_id.
 

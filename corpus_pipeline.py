@@ -23,7 +23,7 @@ def _with(docs: DataFrame, text) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go. A row is scored beside its other columns: no join."""
-    model = toxicity.fit(*toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.fit_apart(*toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.score(docs, model, keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
