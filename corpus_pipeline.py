@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import packing, secrets, simhash, substring, toxicity
+from brindle.llm import jaccard, packing, secrets, substring, toxicity
 from brindle.llm.common import durable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document that names it, the smallest doc_id, stays; of its repeated rows one."""
-    names = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group that five-word shingles of Jaccard similarity 0.8 or more link, the smallest doc_id stays; of its repeated rows one."""
+    names = jaccard.near_duplicates(docs).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
