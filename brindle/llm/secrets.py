@@ -46,7 +46,7 @@ PATTERNS = {
     "access": (ACCESS, r"AKIA[A-Z0-9]{16}"),
     "hex": (HEX, r"[0-9a-f]{24}"),
     "ident": (IDENT, IDENT),
-    "weak": (WEAK, r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]{0,14}+(?<=[A-Za-z0-9+/_=-]{16})"),
+    "weak": (WEAK, r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]{0,15}+(?<=[A-Za-z0-9+/_=-]{16})"),
     "endpoint": (ENDPOINT, "://"),
     "break": (BREAK, BREAK),
 }
