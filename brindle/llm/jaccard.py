@@ -138,3 +138,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = durable(connected_components(links), "groups").withColumnRenamed("node", "member")
     out = rows.join(groups, rows["node"] == groups["member"], "left")
     return out.select("doc_id", "row_a", "row_b", F.coalesce("component", "node").alias("component"))
+
+
+def survivors(rows: DataFrame) -> DataFrame:
+    """What near_duplicates returns -> row_a, row_b, times: a row per component, and how often its doc_id and text come.
+
+    The smallest doc_id goes first, a null one last; rows of one doc_id go by the hash of doc_id and text.
+    """
+    counted = rows.groupBy("component", "doc_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_a", "row_b", "times")
+    return counted.groupBy("component").agg(F.min(order).alias("r")).select("r.row_a", "r.row_b", "r.times")

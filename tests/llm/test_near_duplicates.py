@@ -68,6 +68,22 @@ def test_a_large_slot_is_searched_across_its_groups(spark):
     assert [i for i, _ in stage(spark, rows)] == [0]
 
 
+def test_null_and_reused_ids_lose_only_near_copies(spark):
+    far = " ".join(f"f{i}" for i in range(30))
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "found nowhere else"), (None, base + " end"), (1, base), (1, base), (1, far), (2, far), (3, base), (4, ""), (4, "another text of id four")]
+    want = [(1, base), (1, far), (4, ""), (4, "another text of id four"), (None, "found nowhere else")]
+    assert stage(spark, rows) == sorted(want, key=str)
+
+
+def test_null_row_in_the_corpus(spark, corpus):
+    rows = corpus_pipeline.drop_near_duplicates(spark, corpus, "").collect()
+    # it is a copy of document 1 there, and stays where that is not
+    assert sorted(r.doc_id for r in rows if r.text and r.text.startswith("w0 ")) == [1]
+    alone = corpus_pipeline.drop_near_duplicates(spark, corpus.where("doc_id is null or doc_id > 7"), "").collect()
+    assert [r.doc_id for r in alone if r.text and r.text.startswith("w0 ")] == [None]
+
+
 def test_shingles_and_bands():
     assert len(jaccard.shingles("a b c d e f a b c d e")) == 6 and len(jaccard.shingles("")) == 0
     assert len(jaccard.shingles("A b")) == 1 and (jaccard.shingles("A b") == jaccard.shingles("a\n b")).all()
