@@ -23,8 +23,6 @@ BREAK = r"\n[\x20\t\r]*\n"
 
 #: The kinds in the order of the result.
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint", "break")
-#: Code points between complementary parts, at most.
-REACH = 400
 
 
 def _ok(kind: str) -> Callable[[Column], Column]:
@@ -91,11 +89,11 @@ def _parts(docs: DataFrame) -> DataFrame:
     return rows.where("ok").select("doc_id", "tag", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
-def _linked(parts: DataFrame, reach: int) -> DataFrame:
-    """The base parts, and of the weak ones those with their complement in the same scope and within reach.
+def _linked(parts: DataFrame) -> DataFrame:
+    """The base parts, and of the weak ones those with their complement in the same scope, however far.
 
     An interval join of identifiers, secrets and endpoints as two ordered passes: the nearest part of each role before
-    and after a candidate decides whether any is in reach, so no pair is ever built.
+    and after a candidate decides whether any is in its scope, so no pair is ever built.
     """
     n = {k: i for i, k in enumerate(KINDS)}
     role = {
@@ -113,8 +111,8 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     rows = parts.withColumns(cols)
 
     def near(r: str) -> Column:
-        left = (F.col("start") - F.col(f"{r}_before") <= reach) & (F.coalesce("break_before", F.lit(-1)) <= F.col(f"{r}_before"))
-        right = (F.col(f"{r}_after") - F.col("end") <= reach) & (F.coalesce("break_after", F.lit(2**62)) >= F.col(f"{r}_after"))
+        left = F.coalesce("break_before", F.lit(-1)) <= F.col(f"{r}_before")
+        right = F.coalesce("break_after", F.lit(2**62)) >= F.col(f"{r}_after")
         return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
 
     linked = (
@@ -127,17 +125,17 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     return rows.where(linked).select("doc_id", "tag", "kind", "start", "end")
 
 
-def scan(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text) -> doc_id, spans: array<struct<start, kind, end>> by start, then kind (a number in KINDS);
     positions are code points, the end exclusive. `keep` names more columns of docs to carry along.
 
     Base kinds count by themselves. Weak ones (named identifiers, mixed-case tokens with digits, endpoints) count only
-    when complementary parts are at most `reach` code points away and no blank line lies between. A null or empty text has
+    when no blank line lies between them and complementary parts. A null or empty text has
     no span; each repeated row gets its spans; other columns are ignored; an empty table gives none.
     """
     base = docs.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tag = F.xxhash64("text").alias("tag")
-    found = _linked(_parts(pick(docs).withColumn("tag", tag)), reach)
+    found = _linked(_parts(pick(docs).withColumn("tag", tag)))
     spans = found.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     spans = durable(spans, "spans").withColumnsRenamed({"doc_id": "found_id", "tag": "found_tag"})
     left = base.select(*[f"keep_{c}" for c in keep], "doc_id", tag)

@@ -22,3 +22,9 @@ def test_cheap_weak_pattern_passes_every_counting_match(spark):
         0: "access:0:20,weak:26:43",
         1: "ident:0:18,weak:24:44",
     }
+
+
+def test_parts_link_over_a_whole_scope(spark):
+    far, weak = " -" * 700, "kJ8dh3Kd92hKsl3Xk"
+    got = spans(spark, [f"login: alice.smith{far} {weak}", f"{weak}{far} login: alice.smith", f"login: alice.smith{far}\n\n{weak}"])
+    assert got == {0: "ident:0:18,weak:1419:1436", 1: "weak:0:17,ident:1418:1436", 2: ""}
