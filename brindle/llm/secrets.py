@@ -89,38 +89,52 @@ def _parts(docs: DataFrame) -> DataFrame:
     return rows.where("ok").select("doc_id", "tag", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
-def _linked(parts: DataFrame) -> DataFrame:
-    """The base parts, and of the weak ones those with their complement in the same scope, however far.
+def _near(rows: DataFrame, roles: dict[str, Column]) -> DataFrame:
+    """rows (doc_id, tag, kind, start, end, ...) -> the same rows without their breaks, and for each role the column
+    near_<role>: whether a part of that role that shares no character with the row stands in its scope.
 
-    An interval join of identifiers, secrets and endpoints as two ordered passes: the nearest part of each role before
-    and after a candidate decides whether any is in its scope, so no pair is ever built.
+    An interval join as two ordered passes: each part comes once by its start and once by its end. On the way up, at a
+    part's start, the nearest part of the role that has ended is the best there is before it; on the way down, at its
+    end, the nearest one that is yet to start. A break beyond that one parts the scopes. No pair is ever built.
     """
+    is_break = F.col("kind") == KINDS.index("break")
+    at = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("end").alias("at")), F.struct(F.lit(1).alias("side"), F.col("start").alias("at"))))
+    told = rows.withColumns({f"is_{r}": c for r, c in roles.items()} | {"is_break": is_break}).select("*", at.alias("x")).select("*", "x.side", "x.at").drop("x")
+    part = Window.partitionBy("doc_id", "tag")
+    # where parts touch, the one that ends there comes before the one that starts, in either direction
+    up = part.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    down = part.orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    ended, coming = F.col("side") == 0, F.col("side") == 1
+    names = [*roles, "break"]
+    told = told.withColumns({f"{r}_before": F.max(F.when(F.col(f"is_{r}") & ended, F.col("at"))).over(up) for r in names})
+    told = told.withColumns({f"{r}_after": F.min(F.when(F.col(f"is_{r}") & coming, F.col("at"))).over(down) for r in names})
+    out = told.where("not is_break")
+    near = {}
+    for r in roles:
+        left = coming & (F.coalesce("break_before", F.lit(-1)) <= F.col(f"{r}_before"))
+        right = ended & (F.coalesce("break_after", F.lit(2**62)) >= F.col(f"{r}_after"))
+        near[f"near_{r}"] = F.max(F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
+    return out.groupBy(rows.columns).agg(*[v.alias(k) for k, v in near.items()])
+
+
+def _linked(parts: DataFrame) -> DataFrame:
+    """The base parts, and of the weak ones those with their complement in the same scope, however far: a weak token
+    beside an identifier or an endpoint, an identifier beside a secret, an endpoint beside a secret and an identifier
+    that itself stands beside a secret. What complements a part shares no character with it."""
     n = {k: i for i, k in enumerate(KINDS)}
     role = {
         "name": F.col("kind").isin(n["access"], n["ident"]),
         "secret": F.col("kind").isin(n["assign"], n["hex"], n["weak"]),
         "place": F.col("kind") == n["endpoint"],
     }
-    back = Window.partitionBy("doc_id", "tag").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("doc_id", "tag").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    is_break = F.col("kind") == n["break"]
-    cols = {"break_before": F.max(F.when(is_break, F.col("end"))).over(back)}
-    cols |= {f"{r}_before": F.max(F.when(c, F.col("end"))).over(back) for r, c in role.items()}
-    cols |= {"break_after": F.min(F.when(is_break, F.col("start"))).over(ahead)}
-    cols |= {f"{r}_after": F.min(F.when(c, F.col("start"))).over(ahead) for r, c in role.items()}
-    rows = parts.withColumns(cols)
-
-    def near(r: str) -> Column:
-        left = F.coalesce("break_before", F.lit(-1)) <= F.col(f"{r}_before")
-        right = F.coalesce("break_after", F.lit(2**62)) >= F.col(f"{r}_after")
-        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
-
+    rows = _near(parts, role)
+    breaks = parts.where(F.col("kind") == n["break"]).select(*rows.columns[:5], *[F.lit(False).alias(c) for c in rows.columns[5:]])
+    rows = _near(rows.union(breaks), {"paired": role["name"] & F.col("near_secret")})
     linked = (
         F.when(F.col("kind") <= n["hex"], True)
-        .when(F.col("kind") == n["weak"], near("name") | near("place"))
-        .when(F.col("kind") == n["ident"], near("secret"))
-        .when(F.col("kind") == n["endpoint"], near("secret") & near("name"))
-        .otherwise(False)
+        .when(F.col("kind") == n["weak"], F.col("near_name") | F.col("near_place"))
+        .when(F.col("kind") == n["ident"], F.col("near_secret"))
+        .otherwise(F.col("near_secret") & F.col("near_paired"))
     )
     return rows.where(linked).select("doc_id", "tag", "kind", "start", "end")
 
@@ -130,7 +144,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     positions are code points, the end exclusive. `keep` names more columns of docs to carry along.
 
     Base kinds count by themselves. Weak ones (named identifiers, mixed-case tokens with digits, endpoints) count only
-    when no blank line lies between them and complementary parts. A null or empty text has
+    when no blank line lies between them and complementary parts, which share no character with them. A null or empty text has
     no span; each repeated row gets its spans; other columns are ignored; an empty table gives none.
     """
     base = docs.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
