@@ -6,10 +6,11 @@ import functools
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import CHUNK_BYTES, Words, arrow_map, binary_rows, pick, ragged, text_slices
 
@@ -31,7 +32,10 @@ def _letter(core: bytes) -> bool:
 
 
 def _split(word: bytes) -> tuple[bytes, bytes]:
-    """A word's core and the marks at its end, where both are sure to be tokenised apart; A-Z lower-cased."""
+    """A word's core and the marks at its end, where both are sure to be tokenised apart; A-Z lower-cased, but not
+    where the word may hold a special token."""
+    if b"<|" in word:
+        return word, b""
     core = word.rstrip(TAIL)
     if len(core) == len(word) or not core or not (core[-1:].isalnum() or core[-1] > 127 and _letter(core)):
         return word.lower(), b""
@@ -42,14 +46,14 @@ class WordTokenizer:
     """A tokenizer of the `tokenizers` library that lower-cases and whose matches never hold white space, nor letters
     and marks: each word's core and tail stand alone, are encoded once, and are kept in one flat array.
 
-    Strings that look like special tokens are ordinary text.
+    A special token's name in a text becomes that token, as the library has it unless told otherwise. Such names are
+    case-sensitive and never hold white space: a word with "<|" goes to the library by itself and as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.is_end = np.zeros(self.tok.get_vocab_size(), bool)
         self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
@@ -89,10 +93,7 @@ class WordTokenizer:
         own = {k: self.tok.encode(part[k], add_special_tokens=False).ids for k in odd}
         part = [MARK[:1] if k in own else w for k, w in enumerate(part)]
         texts = [f" {MARK} ".join(part[k : k + 200]) for k in range(0, len(part), 200)]
-        self.tok.encode_special_tokens = False
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        self.tok.encode_special_tokens = True
-        for c, e in enumerate(found):
+        for c, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             cut = np.append(np.flatnonzero(ids == MARK_ID), len(ids))
             keep = ids[ids != MARK_ID]
@@ -208,23 +209,35 @@ def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def pack(rows: DataFrame, text_bytes: int, n_docs: int, seq_len: int = SEQ_LEN, seed: int = 17) -> DataFrame:
     """rows (doc_id, start, length, ...) -> the same and sequence_id, offset: first-fit decreasing in randomised groups.
 
-    A piece's group comes from a seeded hash of doc_id and start, so that no document, source or run of
-    copies falls into one group; the number of groups follows the input. One shuffle of the pieces.
-    Ties go by doc_id, start, then the pieces' order; sequence_id is group * 2**32 + bin, offsets have no gaps from 0.
+    A piece's group comes from a seeded hash of its document, its start, and its place in the input (partition and row),
+    so that no document, source, run of copies, repeated doc_id or null falls into one group; the number of groups
+    follows the input. One shuffle of the pieces. The rows' order within an input partition has to be repeatable, as
+    that of a table or of `pieces` is, so that a lost task deals the same groups again.
+
+    Ties go by doc_id (null first), start, then the order in which they come; sequence_id is group * 2**32 + bin,
+    offsets have no gaps from 0. Repeated rows are pieces of their own; columns named sequence_id or offset are
+    replaced, others stay; an empty table gives none. A length above seq_len fails.
     """
     groups = max(1, text_bytes // GROUP_BYTES, n_docs // 8192)
-    out = rows.schema.add("sequence_id", "long").add("offset", "long")
+    kept = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept])
+    out = StructType(list(rows.schema.fields)).add("sequence_id", "long").add("offset", "long")
+    slot = "pack_group"
+    while slot in kept:
+        slot += "_"
 
     def place(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["start"].to_numpy(), table["doc_id"].fill_null(-1).to_numpy(), -table["length"].to_numpy()))
+        if pc.max(table["length"]).as_py() > seq_len:
+            raise ValueError(f"a piece is longer than {seq_len}")
+        order = np.lexsort((table["start"].to_numpy(), table["doc_id"].fill_null(-(2**63)).to_numpy(), -table["length"].to_numpy()))
         table = table.take(pa.array(order))
         bins, offs = first_fit(table["length"].to_pylist(), seq_len)
-        group = table["pack_group"][0].as_py()
+        group = table[slot][0].as_py()
         at = pa.array(np.array(bins, np.int64) + (group << 32))
-        return table.drop_columns(["pack_group"]).append_column("sequence_id", at).append_column("offset", pa.array(offs, pa.int64()))
+        return table.drop_columns([slot]).append_column("sequence_id", at).append_column("offset", pa.array(offs, pa.int64()))
 
-    key = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start")), F.lit(groups)).alias("pack_group")
-    return rows.select("*", key).groupBy("pack_group").applyInArrow(place, out)
+    key = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start"), F.monotonically_increasing_id()), F.lit(groups)).alias(slot)
+    return rows.select("*", key).groupBy(slot).applyInArrow(place, out)
 
 
 def volume(docs: DataFrame) -> tuple[int, int]:

@@ -36,7 +36,6 @@ def brute(spark):
     rows = {i: t for i, t in rows.items() if find(i) == i}
     out = Counter()
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     for i, n, gone, _ in removed(list(rows.items()), 50):
         if n and gone == n:
             continue

@@ -36,7 +36,6 @@ def test_packing_covers_every_id_once(corpus, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD_BPE)
-    tok.encode_special_tokens = True
     for frame in both(corpus, docs):
         want = Counter()
         total = Counter()
@@ -61,6 +60,25 @@ def test_packing_covers_every_id_once(corpus, docs):
             assert at <= 2048
 
 
+def test_special_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+    texts = ["x <|endoftext|> y", "a<|startoftext|>b. <|ENDOFTEXT|>, <|endoftext|>.", "<|endoftext|><|endoftext|>'s", "<| endoftext|> A<|B.", "≮|endoftext|> <|endoftext|>\u0338", ""]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD_BPE).collect()
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)} and got[0] == [343, 49407, 344, 1]
+
+
+def test_null_and_repeated_rows_spread_over_all_groups(spark):
+    none = spark.range(60_000, numPartitions=6).selectExpr("cast(if(id % 2 = 0, null, 7) as long) as doc_id", "0L as start", "100L as length", "'x' as pack_group", "9 as sequence_id")
+    rows = packing.pack(none, 64 * packing.GROUP_BYTES, 60_000).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 60_000 and len(sizes) == 64 and max(sizes.values()) < 1.3 * 60_000 / 64
+    assert {r.pack_group for r in rows} == {"x"} and len({(r.sequence_id, r.offset) for r in rows}) == 60_000
+    assert packing.pack(none.limit(0), 0, 0).count() == 0 and packing.pieces(none.limit(0).selectExpr("doc_id", "pack_group as text"), WORD_BPE).count() == 0
+
+
 def test_packing_wastes_little(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     size, n = packing.volume(frame)
