@@ -14,8 +14,11 @@ from .components import connected_components
 MAX_BITS = 4
 #: Words of a shingle.
 SHINGLE = 4
-#: Above this many different fingerprints, two segments with balls of radius two replace three with balls of radius one.
-WIDE = 1 << 26
+#: Segments of a fingerprint, the radius of the balls within them being max_bits // SEGMENTS.
+SEGMENTS = 3
+#: Entries above which a table slot is dealt out further, by parts of the other bits; all slots are where there are more
+#: than WIDE different fingerprints, so that the list of such slots stays below 2 MB. Rows do not depend on either.
+HOT_SLOT, WIDE = 1 << 11, 1 << 26
 #: Groups with at most this many compared pairs are compared at once; larger ones are searched along their links.
 SMALL = 64
 
@@ -78,6 +81,10 @@ def _probe(part: Column, count: int, segment: int):
     return lambda mask: F.struct((part.bitwiseXOR(mask) * count + segment).alias("key"), (mask == 0).alias("own"))
 
 
+def _segment(shift: int, width: int) -> Column:
+    return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
 def probes(nodes: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
     """nodes (id, fp) -> key, id, fp, own: each fingerprint's table entry (own) and the ball around it, per segment.
 
@@ -86,12 +93,37 @@ def probes(nodes: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
     """
     sets = []
     for s, (shift, width) in enumerate(segments(count)):
-        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         masks = F.array(*[F.lit(m).cast("long") for m in ball(width, max_bits // count)])
-        sets.append(F.transform(masks, _probe(part, count, s)))
+        sets.append(F.transform(masks, _probe(_segment(shift, width), count, s)))
     return nodes.select("id", "fp", F.explode(F.concat(*sets)).alias("p")).select("p.key", "id", "fp", "p.own")
 
 
+def deeper(rows: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """What probes returns -> the same with keys further parted: a row for each of max_bits + 1 parts of the bits outside
+    the slot's segment. Two fingerprints within max_bits agree in at least one of those parts, so that no link is lost."""
+    parts = F.lit(None).cast("array<bigint>")
+    for s, (shift, width) in enumerate(segments(count)):
+        outside = [b for b in range(64) if not shift <= b < shift + width]
+        cut = [outside[len(outside) * k // (max_bits + 1) : len(outside) * (k + 1) // (max_bits + 1)] for k in range(max_bits + 1)]
+        masks = [sum(1 << b for b in part) for part in cut]
+        found = [F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)]
+        parts = F.when(F.pmod("key", F.lit(count)) == s, F.array(*found)).otherwise(parts)
+    return rows.select(F.explode(parts).alias("key"), "id", "fp", "own")
+
+
+def dealt(nodes: DataFrame, count: int, n: int, max_bits: int = MAX_BITS, hot_slot: int = HOT_SLOT, wide: int = WIDE) -> DataFrame:
+    """The probes of n nodes, those of slots with over hot_slot entries dealt out further."""
+    rows = probes(nodes, count, max_bits)
+    if n > wide:
+        return deeper(rows, count, max_bits)
+    own = F.array(*[_segment(shift, width) * count + s for s, (shift, width) in enumerate(segments(count))])
+    slots = durable(nodes.select(F.explode(own).alias("key")).groupBy("key").count().where(F.col("count") > hot_slot).select("key"), "slots")
+    if slots.isEmpty():
+        return rows
+    hot = F.broadcast(slots)  # fewer than count * wide / hot_slot rows
+    return rows.join(hot, "key", "left_anti").union(deeper(rows.join(hot, "key", "left_semi"), count, max_bits))
+
+
 def _search(fp: np.ndarray, own: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that span the components of one table slot: entries against all, visitors against entries.
 
@@ -142,10 +174,13 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, own: np.ndarray, m
     return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, count: int = 3) -> DataFrame:
-    """nodes (id, fp; fp unique) -> a, b: links within max_bits bits that connect whatever all such links connect.
+def links(nodes: DataFrame, n: int, max_bits: int = MAX_BITS, count: int = SEGMENTS, hot_slot: int = HOT_SLOT, wide: int = WIDE) -> DataFrame:
+    """n nodes (id, fp; both unique and not null) -> a, b: links within max_bits bits that connect whatever all such links connect.
 
-    One shuffle of the probes; each table slot is read as a sorted stream, so no Python call is made per slot.
+    One shuffle of the probes; each table slot is read as a sorted stream, so no Python call is made per slot. A slot
+    is one worker's, which holds its rows (25 bytes each); slots with many entries are dealt out by max_bits + 1 further
+    keys, and what still falls together agrees on more than half of the bits. No link is left out at either step.
+    An empty table gives none.
     """
 
     def run(batches):
@@ -174,19 +209,23 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, count: int = 3) -> DataFra
         if held:
             yield search(held)
 
-    p = probes(nodes, count, max_bits)
+    p = dealt(nodes, count, n, max_bits, hot_slot, wide)
     return arrow_map(p.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id: the smallest doc_id reachable over links of max_bits bits or fewer.
 
-    Copies fall together before anything is compared: one node per fingerprint, named by its smallest doc_id.
-    Texts without words share fingerprint 0 and link like any other; repeated rows each keep their row; an empty
-    table gives none. A null doc_id takes part, but never names a component unless its fingerprint has no other.
+    Copies fall together before anything is compared: a node is a fingerprint, whatever documents have it. Texts without
+    words share fingerprint 0 and link like any other; repeated rows, and rows of one doc_id with different texts, each
+    keep their row and link by their own text alone. A null doc_id takes part; a component of null ones has a null
+    component_id. An empty table gives none.
     """
     fps = durable(fingerprints(docs), "fingerprints")
-    nodes = durable(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("id")), "nodes")
-    groups = connected_components(links(nodes, max_bits, 3 if nodes.count() <= WIDE else 2))
-    named = nodes.join(groups, nodes["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    groups = connected_components(links(nodes.select(F.col("fp").alias("id"), "fp"), nodes.count(), max_bits)).withColumnRenamed("component", "root")
+    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = durable(rooted, "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = durable(rooted.join(named, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

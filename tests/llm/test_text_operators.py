@@ -350,8 +350,8 @@ def test_simhash_components(corpus, docs):
     assert simhash.near_duplicates(corpus.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("count", [2, 3])
-def test_links_lose_no_pair(spark, count):
+@pytest.mark.parametrize(("count", "hot_slot", "wide"), [(2, 1 << 11, 1 << 26), (3, 1 << 11, 1 << 26), (3, 8, 1 << 26), (3, 1 << 11, 1)])
+def test_links_lose_no_pair(spark, count, hot_slot, wide):
     rng = np.random.default_rng(count)
     seeds = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = set()
@@ -363,7 +363,7 @@ def test_links_lose_no_pair(spark, count):
             fps.add(x)
     fps = sorted(fps)
     nodes = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "id long, fp long")
-    found = connected_components(simhash.links(nodes, 4, count)).collect()
+    found = connected_components(simhash.links(nodes, nodes.count(), 4, count, hot_slot, wide)).collect()
     comp = {r.node: r.component for r in found}
     group = list(range(len(fps)))
 
@@ -380,6 +380,27 @@ def test_links_lose_no_pair(spark, count):
     assert [comp.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
+def test_null_and_reused_ids_link_by_their_own_text(spark):
+    far = [" ".join(f"{c}{i}" for i in range(400)) for c in "abcde"]
+    near = far[0] + " more"
+    rows = [(3, far[0]), (None, near), (None, far[1]), (None, far[1]), (7, far[2]), (7, far[3]), (2, far[3]), (9, ""), (None, None), (None, far[4])]
+    assert (brute_fingerprint(far[0]) ^ brute_fingerprint(near)).bit_count() <= 4
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter({(3, 3): 1, (None, 3): 1, (None, None): 3, (7, 7): 1, (7, 2): 1, (2, 2): 1, (9, 9): 1, (None, 9): 1})
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+
+
+def test_a_hot_slot_is_dealt_out(spark):
+    # 100,000 fingerprints that agree in their lowest segment
+    nodes = spark.range(100_000).select(F.shiftleft(F.xxhash64("id"), 21).bitwiseOR(F.lit(5)).alias("fp")).distinct()
+    nodes = durable(nodes.select(F.col("fp").alias("id"), "fp"), "nodes")
+    n = nodes.count()
+    sizes = simhash.dealt(nodes, 3, n).where("own").groupBy("key").count().agg(F.max("count")).first()[0]
+    assert simhash.probes(nodes, 3).where("own").groupBy("key").count().agg(F.max("count")).first()[0] == n
+    assert sizes < n / 50
+    assert simhash.links(nodes, n).count() < 1000
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
