@@ -247,24 +247,65 @@ def test_permutation(n, seed):
     assert (training_order.permute(p, n, seed, inverse=True) == np.arange(n)).all()
 
 
-def test_shards_read_back(spark, corpus, docs):
+def test_shards_hold_every_token(spark, corpus, docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
     for frame in both(corpus, docs):
         out, folder = training_order.materialise(frame, WORD_BPE, 7, seq_len=256, per_shard=40)
         rows = {r.slot: r for r in out.collect()}
         assert sorted(rows) == list(range(len(rows)))
         ids = dict(training_order.read(folder))
         assert len(ids) == len(rows)
+        want = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in texts(frame)}
+        times = Counter(i for i, _ in texts(frame))
+        seen = Counter()
         for slot, x in ids.items():
-            assert zlib.crc32(x.tobytes()) == rows[slot].ids_crc32
+            r = rows[slot]
+            assert zlib.crc32(x.tobytes()) == r.ids_crc32 and r.shard == slot // 40 and r.byte_offset == slot % 40 * 512
+            flat = [(i, k, v) for n, i in enumerate(r.doc_ids) for k, v in enumerate(want[i]) if n or k >= r.start][: r.n_tokens]
+            assert x.tolist() == [v for _, _, v in flat] + [1] * (256 - r.n_tokens)
+            seen.update((i, k) for i, k, _ in flat)
+        assert seen == Counter({(i, k): n for i, n in times.items() for k in range(len(want[i]))})
         assert next(training_order.read(folder, len(rows) - 1))[0] == len(rows) - 1
-        tokens = Counter()
-        for i, t in texts(frame):
-            tokens[i] += 1
-        assert {i for r in rows.values() for i in r.doc_ids} == set(tokens)
-        assert out.count() == len(rows)  # a second run finds its shards
     assert training_order.materialise(corpus.limit(0), WORD_BPE, 7)[0].count() == 0
 
 
+def test_shards_of_another_run_are_never_taken(spark, docs, tmp_path):
+    import os
+
+    folder = f"file://{tmp_path}/shards"
+    make = lambda key, frame=docs: training_order.materialise(frame, WORD_BPE, key, folder, 256, 40)
+    first = make(7)[0].collect()
+    names = sorted(n for n in os.listdir(tmp_path / "shards") if n.endswith(".bin"))
+    whole = {n: (tmp_path / "shards" / n).read_bytes() for n in names}
+    with pytest.raises(ValueError, match="another run"):
+        make(8)
+    with pytest.raises(ValueError, match="another run"):
+        make(7, docs.where("doc_id > 3"))
+    # a broken run: no manifest, a shard lost, one damaged, one too long
+    (tmp_path / "shards" / "manifest.json").unlink()
+    with pytest.raises(FileNotFoundError):
+        next(training_order.read(folder))
+    (tmp_path / "shards" / names[0]).unlink()
+    (tmp_path / "shards" / names[1]).write_bytes(whole[names[1]][:700] + b"xx" + whole[names[1]][702:])
+    (tmp_path / "shards" / names[2]).write_bytes(whole[names[2]] + b"more")
+    kept = os.stat(tmp_path / "shards" / names[3]).st_mtime_ns
+    assert sorted(make(7)[0].collect()) == sorted(first)
+    assert {n: (tmp_path / "shards" / n).read_bytes() for n in names} == whole and os.stat(tmp_path / "shards" / names[3]).st_mtime_ns == kept
+    # without its manifest another run may use the folder, and leaves the first one's shards alone
+    (tmp_path / "shards" / "manifest.json").unlink()
+    rows = {r.slot: r.ids_crc32 for r in make(8)[0].collect()}
+    assert all(zlib.crc32(x.tobytes()) == rows[slot] for slot, x in training_order.read(folder)) and whole[names[0]] == (tmp_path / "shards" / names[0]).read_bytes()
+
+
+def test_ids_that_do_not_fit_fail(spark, docs):
+    with pytest.raises(Exception, match="does not fit into 1 bytes"):
+        training_order.materialise(docs, WORD_BPE, 7, id_bytes=1)
+    wide = training_order.sequences(docs.select("*", F.lit(1).alias("ids"), F.lit(2).alias("slot")), WORD_BPE, 64, id_bytes=4).first()
+    assert len(wide.ids) == 256 and zlib.crc32(wide.ids) == wide.ids_crc32
+
+
 # -- substring dedup ----------------------------------------------------------------------------------------------------
 
 
