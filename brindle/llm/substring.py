@@ -11,18 +11,22 @@ Neighbouring windows under one anchor form an extent. Then
   1. equal extents (anchor and content) of different documents are repeats as a whole;
   2. an anchor with two or more different extents has one document of each show its windows one by one.
 Anchors of one document alone show nothing, so that what is shuffled per word of clean text is a small fraction of a row.
-Both tests key on the anchor's name and an independent content hash, 128 bits together.
+Both tests key on the anchor's name and a content hash, which only propose: the document that a repeat is held against
+gives a 128-bit cryptographic digest of the words themselves, and a word goes only where the digest of its own
+document's words is the same.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Words, arrow_map, binary_rows, durable, pick_columns, ragged, text_slices
+from .common import Words, arrow_map, binary_rows, drop, durable, pick_columns, ragged, text_slices
 from .urls import bloom, passing
 
 #: Words of a window.
@@ -203,7 +207,7 @@ def _texts(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """(id, tag, text, kept columns): id orders documents (a null doc_id comes last), tag tells rows of one id apart."""
     doc_id, text = pick_columns()
     base = docs.select(doc_id, text, *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
-    return base.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.hash("text").alias("tag"), "text", *[f"keep_{c}" for c in keep])
+    return base.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("tag"), "text", *[f"keep_{c}" for c in keep])
 
 
 def extents(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -218,7 +222,7 @@ def extents(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["id", "tag", "first", "n", "anchor", "body"],
             )
 
-    return arrow_map(texts.select("id", "tag", "text"), run, "id long, tag int, first int, n int, anchor long, body long")
+    return arrow_map(texts.select("id", "tag", "text"), run, "id long, tag long, first int, n int, anchor long, body long")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -242,7 +246,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 names=["id", "tag", "first", "anchor", "body"],
             )
 
-    return arrow_map(rows, run, "id long, tag int, first int, anchor long, body long")
+    return arrow_map(rows, run, "id long, tag long, first int, anchor long, body long")
 
 
 def _want(anchor: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -257,7 +261,7 @@ def _wanted(rows: DataFrame) -> DataFrame:
             key = _want(b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key.view(np.int64))], names=["id", "tag", "want"])
 
-    return arrow_map(rows.select("id", "tag", "anchor", "body"), run, "id long, tag int, want long")
+    return arrow_map(rows.select("id", "tag", "anchor", "body"), run, "id long, tag long, want long")
 
 
 def _some(texts: DataFrame, wants: DataFrame) -> DataFrame:
@@ -267,27 +271,79 @@ def _some(texts: DataFrame, wants: DataFrame) -> DataFrame:
     return rows.where(hit).select("id", "tag", "text")
 
 
+class Spans:
+    """The words of several texts, each followed by one space, so that spans of words can be told by digests."""
+
+    def __init__(self, w: Words):
+        n = w.end - w.start
+        self.off = np.append(0, np.cumsum(n + 1))
+        joined = np.full(int(self.off[-1]), 0x20, np.uint8)
+        joined[ragged(self.off[:-1], n)] = w.data[w.ink]
+        self.joined = joined.tobytes()
+
+    def digests(self, at: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """Of n words from word `at` on, for each."""
+        ends = zip(self.off[at].tolist(), self.off[at + n].tolist(), strict=True)
+        return [blake2b(self.joined[a:b], digest_size=16).digest() for a, b in ends]
+
+
+def _proofs(rows: DataFrame) -> DataFrame:
+    """rows (id, tag, asked: list of (first, n, anchor, body, whole), text) -> id, anchor, body, whole, proof: the digest
+    of the words of each span asked for."""
+
+    def run(batches):
+        for b in text_slices(batches, "text", CHUNK):
+            w = Words(b.column(3))
+            asked = b.column(2)
+            row = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+            first, n, anchor, body, whole = asked.flatten().flatten()
+            proof = Spans(w).digests(w.doc[row] + first.to_numpy(), n.to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), anchor, body, whole, pa.array(proof, pa.binary())], names=["id", "anchor", "body", "whole", "proof"])
+
+    return arrow_map(rows, run, "id long, anchor long, body long, whole boolean, proof binary")
+
+
 def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """texts (id, tag, text, ...) -> id, tag, first, n: word spans covered by windows that also start in a text of smaller id.
+    """texts (id, tag, text, ...) -> id, tag, gone: a list of (first, n, proof), the word spans covered by windows that also
+    start in a text of smaller id, and the digest of that text's words there.
 
-    Only texts that show windows are shuffled: a Bloom filter of bounded size keeps nearly all others from the exact join.
-    Counts and least ids are taken before any shuffle, and joins on them can be split where many texts share a key.
+    Only texts that show windows or prove them are shuffled: a Bloom filter of bounded size keeps nearly all others from
+    the exact joins. Counts and least ids are taken before any shuffle, and joins on them can be split where many texts
+    share a key. Tables go as soon as nothing reads them any more.
     """
     ext = durable(extents(texts, window), "extents")
     met = ext.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor")
     met = durable(met, "met")  # as a table of its own it leaves the join free to split an anchor that many texts share
     shared = durable(ext.join(met, "anchor", "left_semi"), "shared")
-    least = shared.groupBy("anchor", "body").agg(F.min(F.struct("id", "tag")).alias("m"))
-    least = durable(least.select("anchor", "body", F.col("m.id").alias("least"), F.col("m.tag").alias("least_tag")), "least")
-    whole = shared.join(least, ["anchor", "body"]).where("id > least").select("id", "tag", "first", (F.col("n") + (window - 1)).alias("n"))
+    drop(ext)
+    drop(met)
+    last = F.min(F.struct("id", F.bitwise_not("tag").alias("tag"))).alias("l")
+    least = shared.groupBy("anchor", "body").agg(F.min(F.struct("id", "tag", "first", "n")).alias("m"), last, F.max("id").alias("most"))
+    again, reused = F.col("m.id") < F.col("most"), F.col("m.tag") != F.bitwise_not("l.tag")
+    length = (F.col("m.n") + (window - 1)).alias("n")
+    least = durable(least.select("anchor", "body", "m.id", "m.tag", "m.first", length, again.alias("again"), reused.alias("reused")), "least")
     several = durable(least.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "several")
-    show = least.join(several, "anchor", "left_semi").select(F.col("least").alias("id"), F.col("least_tag").alias("tag"), "anchor", "body")
+    show = least.join(several, "anchor", "left_semi").select("id", "tag", "anchor", "body")
+    if not least.where("reused").isEmpty():  # texts that share the least id and an extent all show its windows
+        show = show.union(shared.join(least.where("reused").select("anchor", "body", "id"), ["anchor", "body", "id"]).join(several, "anchor", "left_semi").select("id", "tag", "anchor", "body"))
     wants = durable(_wanted(show).groupBy("id", "tag").agg(F.collect_set("want").alias("wants")), "wants")
     shown = durable(_windows(_some(texts, wants).join(wants, ["id", "tag"]).select("id", "tag", "wants", "text"), window), "windows")
-    first = shown.groupBy("anchor", "body").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    first = durable(first.drop("most"), "first")
-    single = shown.join(first, ["anchor", "body"]).where("id > least").select("id", "tag", "first", F.lit(window).alias("n"))
-    return whole.union(single)
+    first = shown.groupBy("anchor", "body").agg(F.min(F.struct("id", "tag", "first")).alias("m"), F.max("id").alias("most")).where("m.id < most")
+    first = first.select("anchor", "body", "m.id", "m.tag", "m.first", F.lit(window).alias("n"), F.lit(False).alias("whole"))
+    sources = least.where("again").select("anchor", "body", "id", "tag", "first", "n", F.lit(True).alias("whole")).union(first)
+    asked = sources.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "n", "anchor", "body", "whole")).alias("asked"))
+    asked = durable(asked, "asked")
+    proofs = durable(_proofs(_some(texts, asked).join(asked, ["id", "tag"]).select("id", "tag", "asked", "text")), "proofs")
+    for t in (least, several, wants, asked):
+        drop(t)
+    of = proofs.select("anchor", "body", F.col("id").alias("least"), "whole", "proof")
+    later = F.col("id") > F.col("least")
+    spans = shared.join(of.where("whole"), ["anchor", "body"]).where(later).select("id", "tag", "first", (F.col("n") + (window - 1)).alias("n"), "proof")
+    single = shown.join(of.where("not whole"), ["anchor", "body"]).where(later).select("id", "tag", "first", F.lit(window).alias("n"), "proof")
+    gone = durable(spans.union(single).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "n", "proof")).alias("gone")), "gone")
+    for t in (shared, shown, proofs):
+        drop(t)
+    return gone
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -295,25 +351,27 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None =
 
     A word goes if a window of `window` consecutive words covers it whose words also start somewhere in a document
     with a smaller doc_id; windows are judged on the input. Without `joiner` a kept word keeps the white space before
-    it; with one, kept words are joined by it. A null text has no words; texts shorter than a window stay; repeated rows
-    of one doc_id are one document to each other; a null doc_id counts as the largest; columns besides are ignored; an
-    empty table gives none.
+    it; with one, kept words are joined by it. A null text has no words; texts shorter than a window stay; rows of one
+    doc_id, whatever their texts, are one document to each other; a null doc_id counts as the largest; other columns,
+    whatever their names, are ignored; an empty table gives none.
     """
     texts = _texts(docs, keep)
-    gone = repeats(texts, window).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
-    rows = texts.join(gone, ["id", "tag"], "left")
+    rows = texts.join(repeats(texts, window), ["id", "tag"], "left")
     carried = [f"keep_{c}" for c in keep]
-    rows = rows.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "text", F.col("gone.first").alias("first"), F.col("gone.n").alias("n"), *carried)
+    rows = rows.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "text", F.col("gone.first").alias("first"), F.col("gone.n").alias("n"), F.col("gone.proof").alias("proof"), *carried)
 
     def run(batches):
         for b in text_slices(batches, "text", CHUNK):
             w = Words(b.column(1))
-            first, n = b.column(2), b.column(3)
+            first, n = b.column(2), b.column(3).flatten().to_numpy()
             of = np.repeat(np.arange(b.num_rows), np.diff(first.fill_null([]).offsets.to_numpy()))
             at = w.doc[of] + first.flatten().to_numpy()
+            if len(at):
+                same = [x == y for x, y in zip(Spans(w).digests(at, n), b.column(4).flatten().to_pylist(), strict=True)]
+                at, n = at[same], n[same]
             step = np.zeros(len(w) + 1, np.int64)
             np.add.at(step, at, 1)
-            np.add.at(step, at + n.flatten().to_numpy(), -1)
+            np.add.at(step, at + n, -1)
             out = np.cumsum(step[:-1]) > 0
             before = np.append(0, np.cumsum(out))
             removed = before[w.doc[1:]] - before[w.doc[:-1]]
@@ -334,7 +392,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, joiner: str | None =
                 data = w.data.tobytes()
                 flags = (~out).tolist()
                 text = pa.array([glue.join([data[starts[i] : ends[i]] for i in range(p, q) if flags[i]]) for p, q in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(w.doc)), pa.array(removed), text.cast(pa.string()), *b.columns[4:]], names=["doc_id", "n_words", "n_removed", "text", *carried])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(w.doc)), pa.array(removed), text.cast(pa.string()), *b.columns[5:]], names=["doc_id", "n_words", "n_removed", "text", *carried])
 
     schema = "doc_id long, n_words long, n_removed long, text string" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
     return arrow_map(rows, run, schema).withColumnsRenamed(dict(zip(carried, keep, strict=True)))

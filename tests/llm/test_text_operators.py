@@ -352,6 +352,25 @@ def test_substring_dedup_of_repetitive_texts(spark):
         assert key((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == key(removed(rows, window))
 
 
+def test_substring_dedup_of_null_and_reused_ids(spark):
+    base = [f"w{i}" for i in range(90)]
+    texts_ = [" ".join(base), "x " + " ".join(base[:60]), " ".join(base[20:]) + " y", " ".join(base[:40]), None, "", "a\tb\n" + "\n".join(base[10:70])]
+    rows = [(None, t) for t in texts_] + [(4, t) for t in texts_] + [(2, texts_[1]), (2, texts_[2]), (2, texts_[2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as gone", "'p' as proof", "2 as anchor", "3 as keep_proof")
+    got = substring.substring_dedup(frame, joiner=" ", keep=("proof", "anchor")).collect()
+    assert key((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == key(removed([(i, t or "") for i, t in rows], 50))
+    assert {(r.proof, r.anchor) for r in got} == {("p", 2)}
+
+
+def test_digests_are_of_the_words():
+    import pyarrow as pa
+
+    spans = lambda t: substring.Spans(Words(pa.array([t])))
+    of = lambda t, a, n: spans(t).digests(np.array([a]), np.array([n]))[0]
+    assert of("a  bc\nd", 0, 3) == of("x a bc d", 1, 3) == hashlib.blake2b(b"a bc d ", digest_size=16).digest()
+    assert of("ab c", 0, 2) != of("a bc", 0, 2) and of("", 0, 0) == hashlib.blake2b(b"", digest_size=16).digest()
+
+
 # -- simhash ------------------------------------------------------------------------------------------------------------
 
 
