@@ -9,7 +9,8 @@ from .common import drop, durable
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links (a long, b long) -> node, component: the smallest node that can be reached, for every node with a link.
+    """links (a long, b long) -> node, component: the smallest node that can be reached, for every node with a link; a table
+    of its own.
 
     Alternates two star steps: every node's larger neighbours, then its smaller ones, link to the smallest
     neighbour. Each round works on at most as many links as it got, is written to the shared folder, and the rounds
@@ -40,4 +41,6 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = durable(out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop(edges)
+    return out

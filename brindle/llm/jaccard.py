@@ -1,14 +1,16 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands, verified links, components."""
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash and MinHash propose links, whole sets decide."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, arrow_map, durable, text_slices
+from .common import CHUNK_BYTES, arrow_map, drop, durable, text_slices
 from .components import connected_components
+from .simhash import links, majority
+from .urls import bloom, passing
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -65,13 +67,13 @@ def _list(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
 
 
-def row_keys() -> list:
+def row_keys() -> list[Column]:
     """Two hashes that tell rows of another doc_id or text apart, nulls included."""
     return [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64(F.lit(1), "text", F.col("doc_id").isNull(), "doc_id").alias("row_b")]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, row_a, row_b, node (a hash of the shingle set), keys (of its bands)."""
+    """docs (doc_id, text) -> doc_id, row_a, row_b, node (a hash of the shingle set), fp (its SimHash), keys (of its bands)."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -79,11 +81,13 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in text_slices(batches, limit=CHUNK_BYTES):
             sets = [shingles(t) for t in b.column(3).to_pylist()]
             node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            fp = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64)
             keys = _list([bands(s) if len(s) else s for s in sets])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node.view(np.int64)), keys], names=["doc_id", "row_a", "row_b", "node", "keys"])
+            cols = [*b.columns[:3], pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), keys]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_a", "row_b", "node", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return arrow_map(rows, run, "doc_id long, row_a long, row_b long, node long, keys array<long>")
+    return arrow_map(rows, run, "doc_id long, row_a long, row_b long, node long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -96,55 +100,136 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "node long, found array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b), sets (node, found) -> the pairs whose Jaccard similarity is SHARE or more, in whole numbers."""
+def _some(rows: DataFrame, key: Column, wanted: DataFrame, by: str) -> DataFrame:
+    """The rows whose key may be among wanted's values of `by`: a Bloom filter of bounded size before an exact join."""
+    filt, blocks = bloom(wanted.select(F.col(by).alias("url")), wanted.count())
+    out, hit = passing(rows, key, filt, blocks, "inner")
+    return out.where(hit).select(*rows.columns)
+
+
+def _may_link() -> Column:
+    """Whether sets of m and l shingles, of which at most p and q are found in any other set, can be SHARE similar."""
+    one, all_ = SHARE
+    most = F.least("p", "q", "m", "l")
+    return most * all_ >= (F.col("m") + F.col("l") - most) * one
+
+
+def weighed(sets: DataFrame) -> DataFrame:
+    """sets (node, found) -> node, m (shingles), p (those found in other sets too), of nodes that can link to another.
+
+    A shingle that no other set holds counts against every pair: a text with more than a fifth of such has no link. That
+    is exact, needs one shuffle of the sets, and spares a group of loosely alike texts its comparisons.
+    """
     one, all_ = SHARE
-    right = sets.select(F.col("node").alias("b"), F.col("found").alias("y"), F.size("found").cast("long").alias("n"))
-    left = sets.select(F.col("node").alias("a"), F.col("found").alias("x"), F.size("found").cast("long").alias("m"))
-    both = pairs.join(right, "b").join(left, "a").where((F.least("m", "n") * all_ >= F.greatest("m", "n") * one))
+    lone = sets.select("node", F.explode("found").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    lone = lone.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    rows = sets.select("node", F.size("found").cast("long").alias("m")).join(lone, "node", "left")
+    return rows.select("node", "m", (F.col("m") - F.coalesce("u", F.lit(0))).alias("p")).where(F.col("p") * all_ >= F.col("m") * one)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFrame:
+    """pairs (a, b) of different nodes -> those whose Jaccard similarity is SHARE or more, in whole numbers."""
+    one, all_ = SHARE
+    held = pairs.join(weights.toDF("a", "m", "p"), "a").join(weights.toDF("b", "l", "q"), "b").where(_may_link())
+    both = held.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(same * all_ >= (F.col("m") + F.col("n") - same) * one).select("a", "b")
+    return both.where(same * all_ >= (F.col("m") + F.col("l") - same) * one).select("a", "b")
+
 
+def _simhash_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes that SimHash proposes: those of one fingerprint as a star, and links of fingerprints a few bits apart."""
+    nodes = rows.groupBy("fp").agg(F.min("node").alias("rep"))
+    nodes = durable(nodes, "fingerprints")
+    same = rows.select("node", "fp").join(nodes, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    found = links(nodes.select(F.col("fp").alias("id"), "fp"), nodes.count()).toDF("x", "y")
+    near = found.join(nodes.toDF("x", "a"), "x").join(nodes.toDF("y", "b"), "y").select("a", "b")
+    pairs = durable(same.union(near).distinct(), "proposed")
+    drop(nodes)
+    return pairs
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+
+def similar(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, row_a, row_b, component: rows are in one component if links of SHARE or more join them.
 
-    Equal shingle sets are one node before anything is compared; texts without words are one. Nodes with a band in
-    common are candidates. First each is held against the least node of its slot, then, across the components that
-    makes, each against each: within a component another link changes nothing, so that a dense group costs about its
-    size. Every link is verified on whole shingle sets. Each repeated row keeps its row; a null doc_id takes part.
+    Equal shingle sets are one node before anything is compared; texts without words are one. What SimHash fingerprints
+    link within a few bits is proposed first, and each node with the least one of every MinHash slot it is in: at a
+    similarity of 0.8 fingerprints differ in about ten bits, beyond any ball that can be enumerated, so the slots have to
+    propose the rest. Then, across the components that makes, all pairs of a slot but those within its largest
+    component, where another link changes nothing. Every link is verified on whole shingle sets, those texts aside that
+    cannot link (`weighed`). Each repeated row keeps its row; a null doc_id takes part; an empty table gives none. The
+    result is a table of its own, and all others are gone.
     """
     rows = durable(sketches(docs), "sketches")
-    nodes = rows.where(F.size("keys") > 0).select("node", "keys").dropDuplicates(["node"])
-    entries = durable(nodes.select("node", F.explode("keys").alias("key")), "bands")
+    nodes = rows.where(F.size("keys") > 0)
+    entries = nodes.select("node", F.explode("keys").alias("key"))
     slots = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    live = durable(entries.join(durable(slots.select("key", "hub"), "slots"), "key"), "slots")
+    slots = durable(slots.select("key"), "slots")
+    live = durable(_some(entries, F.col("key"), slots, "key").join(slots, "key", "left_semi").select("key", "node").distinct(), "live")
+    drop(slots)
 
-    held = rows.join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("row_a", "row_b")).alias("r"))
+    held = rows.select("node", "row_a", "row_b").join(live.select("node").distinct(), "node", "left_semi")
+    held = held.groupBy("node").agg(F.min(F.struct("row_a", "row_b")).alias("r"))
     held = durable(held.select("node", "r.row_a", "r.row_b"), "held")
-    texts = docs.select(*row_keys(), F.col("text").cast("string").alias("text")).join(held, ["row_a", "row_b"]).select("node", "text")
+    keyed = docs.select(*row_keys(), F.col("text").cast("string").alias("text"))
+    texts = _some(keyed, F.col("row_a"), held, "row_a").join(held, ["row_a", "row_b"]).select("node", "text")
     sets = durable(shingle_sets(texts).dropDuplicates(["node"]), "sets")
-
-    first = durable(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = durable(verified(first, sets), "verified")
-    groups = durable(connected_components(links), "groups").withColumnRenamed("node", "member")
-    named = live.join(groups, live["node"] == groups["member"], "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    drop(held)
+    weights = durable(weighed(sets), "weights")
+
+    live, before = durable(live.join(weights, "node").select("key", "node", "m", "p"), "live"), live
+    drop(before)
+    hubs = durable(live.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
+    stars = live.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    proposed = _simhash_pairs(nodes)
+    pairs = durable(stars.union(proposed).distinct(), "pairs")
+    found = durable(verified(pairs, sets, weights), "verified")
+
+    groups = connected_components(found).toDF("member", "c")
+    named = live.join(groups, live["node"] == groups["member"], "left").select("key", "node", F.coalesce("c", "node").alias("c"), "m", "p")
     named = durable(named, "named")
-    split = durable(named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "split")
-    named = named.join(split, "key", "left_semi")
-    x, y = named.toDF("key", "a", "c"), named.toDF("key", "b", "d")
-    across = x.join(y, "key").where("a < b and c <> d").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(durable(verified(durable(across, "pairs"), sets), "verified"))
-    groups = durable(connected_components(links), "groups").withColumnRenamed("node", "member")
+    counted = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    split = counted.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
+    split = durable(split, "split")
+    rest = durable(named.join(split, "key").where("c <> main").select("key", "node", "c", "m", "p"), "rest")
+    every = named.join(split, "key").select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("m").alias("l"), F.col("p").alias("q"), (F.col("c") == F.col("main")).alias("is_main"))
+    every = durable(every, "every")
+    across = rest.withColumnRenamed("node", "a").join(every, "key").where((F.col("c") != F.col("d")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _may_link())
+    across = durable(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    more = durable(verified(across, sets, weights), "verified")
+    groups = connected_components(found.union(more)).toDF("member", "c")
     out = rows.join(groups, rows["node"] == groups["member"], "left")
-    return out.select("doc_id", "row_a", "row_b", F.coalesce("component", "node").alias("component"))
+    out = durable(out.select("doc_id", "row_a", "row_b", F.coalesce("c", "node").alias("component")), "components")
+    for t in (rows, live, sets, weights, hubs, proposed, pairs, found, named, split, rest, every, across, more, groups):
+        drop(t)
+    return out
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """What near_duplicates returns -> row_a, row_b, times: a row per component, and how often its doc_id and text come.
+    """What similar returns -> row_a, row_b, stays (false: the row goes; true: one of its equal rows stays), of those rows
+    that do not simply stay.
 
-    The smallest doc_id goes first, a null one last; rows of one doc_id go by the hash of doc_id and text.
+    Of each component the row of the smallest doc_id stays, a null one last; rows of one doc_id go by the hash of doc_id
+    and text.
     """
     counted = rows.groupBy("component", "doc_id", "row_a", "row_b").agg(F.count(F.lit(1)).alias("times"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_a", "row_b", "times")
-    return counted.groupBy("component").agg(F.min(order).alias("r")).select("r.row_a", "r.row_b", "r.times")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_a", "row_b")
+    best = counted.groupBy("component").agg(F.min(order).alias("r"), F.count(F.lit(1)).alias("members"), F.max("times").alias("most")).where("members > 1 or most > 1")
+    best = best.select("component", F.col("r.row_a").alias("best_a"), F.col("r.row_b").alias("best_b"))
+    told = counted.join(best, "component").withColumn("stays", (F.col("row_a") == F.col("best_a")) & (F.col("row_b") == F.col("best_b")))
+    return told.where("not stays or times > 1").select("row_a", "row_b", "stays")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> its rows but those that go by `survivors`; only rows that may go are shuffled."""
+    found = similar(docs)
+    told = durable(survivors(found), "survivors")
+    drop(found)
+    names = [f"col_{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *row_keys())
+    filt, blocks = bloom(told.select(F.col("row_a").alias("url")), told.count())
+    probed, hit = passing(rows, F.col("row_a"), filt, blocks, "left")
+    probed = probed.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("hit"))
+    asked = probed.where("hit").join(told, ["row_a", "row_b"], "left")
+    once = asked.where("stays").dropDuplicates(["row_a", "row_b"]).select(*names)
+    out = probed.where("not hit").select(*names).union(asked.where("stays is null").select(*names)).union(once)
+    return out.toDF(*docs.columns)

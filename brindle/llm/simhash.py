@@ -23,7 +23,7 @@ HOT_SLOT, WIDE = 1 << 11, 1 << 26
 SMALL = 64
 
 
-def _bits(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
     """The bits that are set in over half of the hashes."""
     n, ones = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
@@ -44,7 +44,7 @@ def fingerprint(text: str, width: int = SHINGLE, seed: int = 42) -> int:
     end = np.cumsum([len(w) + 1 for w in words]) - 1
     start = np.append(0, end[:-1] + 1)
     spans = zip(start[: 1 - width].tolist(), end[width - 1 :].tolist(), strict=True)
-    return _bits(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - width + 1))
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - width + 1))
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = 42) -> DataFrame:

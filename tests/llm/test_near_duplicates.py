@@ -89,3 +89,25 @@ def test_shingles_and_bands():
     assert len(jaccard.shingles("A b")) == 1 and (jaccard.shingles("A b") == jaccard.shingles("a\n b")).all()
     found = jaccard.shingles(" ".join(f"w{i}" for i in range(5000)))
     assert len(found) == 4996 and len(set(jaccard.bands(found).tolist())) == jaccard.BANDS
+
+
+def test_texts_that_cannot_link_are_left_out(spark):
+    rng = random.Random(3)
+    sets = [(k, sorted(rng.sample(range(60), rng.randrange(5, 40))) + [1000 * (k + 1) + i for i in range(rng.randrange(8))]) for k in range(40)]
+    frame = spark.createDataFrame(sets, "node long, found array<long>")
+    kept = {r.node: (r.m, r.p) for r in jaccard.weighed(frame).collect()}
+    held = {k: set(x) for k, x in sets}
+    for a, x in held.items():
+        others = set().union(*(y for b, y in held.items() if b != a))
+        assert (a in kept) == (5 * len(x & others) >= 4 * len(x))
+        assert a not in kept or kept[a] == (len(x), len(x & others))
+
+
+def test_odd_tables(spark, corpus):
+    assert jaccard.deduplicated(corpus.limit(0)).count() == 0 and jaccard.similar(corpus.limit(0)).count() == 0
+    clash = corpus.selectExpr("*", "1 as slot", "2 as block", "3 as stays", "4 as `a.b`", "5 as row_a")
+    got = jaccard.deduplicated(clash)
+    assert got.columns == clash.columns
+    rows = got.collect()
+    assert {(r.slot, r.block, r.stays, r["a.b"], r.row_a) for r in rows} == {(1, 2, 3, 4, 5)}
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in jaccard.deduplicated(corpus).collect())
