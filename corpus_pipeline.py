@@ -30,12 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that five-word shingles of Jaccard similarity 0.8 or more link, one row stays: that of the smallest
     doc_id, a null one last, then of the least hash of the text. Of equal rows (doc_id and text) of a group one stays."""
-    kept = durable(jaccard.survivors(jaccard.near_duplicates(docs)), "survivors")
-    left = docs.select(*COLUMNS, *jaccard.row_keys()).join(kept, ["row_a", "row_b"])
-    once = left.where("times = 1").select(*COLUMNS)
-    if kept.where("times > 1").isEmpty():
-        return once
-    return once.union(left.where("times > 1").dropDuplicates(["row_a", "row_b"]).select(*COLUMNS))
+    return jaccard.deduplicated(docs.select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
