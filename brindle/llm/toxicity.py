@@ -21,13 +21,18 @@ from .common import CHUNK_BYTES, arrow_map, pick, pick_columns, text_slices
 
 #: At most so many labelled rows, and so many bytes of their texts, teach the lexicon (on the driver).
 TRAIN_ROWS, TRAIN_BYTES = 4000, 16 << 20
+#: The weight of a seed word of which the labels say nothing, and in how many labelled texts they do say something.
+SEED_WEIGHT, SEED_TEXTS = 5.0, 5
 #: At most so many lexicon entries.
 LEXICON = 1500
 
-# Common insults that the lexicon starts from, whatever the labels say.
+# Common insults that the lexicon starts from, as whole words or with a plural s, until labels say otherwise.
 SEEDS = "idiot moron stupid loser trash scum worthless pathetic disgusting clown imbecile dumbass asshole bastard bitch".split()
 # Harmless phrases that hold a lexicon entry.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "clownfish", "sore loser", "scum line", "pond scum", "idiot proof", "trashed file")
+# Blocks of letters that fold to others: Latin-1 to Cyrillic, Latin and Greek additions, letter-like signs,
+# numbers and letters in circles, full-width forms, mathematical letters, and letters in squares.
+FOLDED_BLOCKS = [(0x80, 0x530), (0x1E00, 0x2000), (0x2100, 0x2190), (0x2460, 0x2500), (0xFF00, 0xFF5F), (0x1D400, 0x1D800), (0x1F100, 0x1F1A0)]
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(
     zip(
@@ -40,15 +45,15 @@ HOMOGLYPHS = dict(
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 
-
-
 @functools.lru_cache(1)
 def _table() -> dict[int, str]:
-    """Letters beyond ASCII, up to the Cyrillic block, to lower-case Latin ones where they look alike; others and
-    invisible signs as they fold. Letters of Latin alphabets keep their accents, which tell words apart."""
+    """The letters of FOLDED_BLOCKS to lower-case Latin ones where they look alike; others and invisible signs as they
+    fold. Letters of Latin alphabets keep their accents, which tell words apart."""
     out = {}
-    for i in [*range(0x80, 0x530), *range(0x1E00, 0x2000), *range(0xFF00, 0xFF5F)]:
+    for i in (i for a, b in FOLDED_BLOCKS for i in range(a, b)):
         c = unicodedata.normalize("NFKC", chr(i)).lower()
+        if 0x1F130 <= i < 0x1F18A:  # black squares and circles have no folding of their own
+            c = chr(ord("a") + (i - 0x1F130) % 32) if (i - 0x1F130) % 32 < 26 else c
         if not ("LATIN" in unicodedata.name(chr(i), "") and i < 0x250):
             c = "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         out[i] = c
@@ -83,12 +88,32 @@ def fold(text: str) -> str:
     return f" {text} "
 
 
-def grams(word: str, low: int = 4, high: int = 9) -> set[str]:
-    """The different substrings of `low` to `high` characters of a word with the spaces beside it, and the word itself."""
-    w = f" {word} "
-    out = {w} if len(w) <= 26 else set()
-    for n in range(low, min(high, len(w)) + 1):
-        out.update(w[i : i + n] for i in range(len(w) - n + 1))
+def grams(word: str, low: int = 6, high: int = 10) -> set[str]:
+    """The terms that a word may teach: itself with the spaces beside it, and its beginnings of `low` to `high` letters
+    with the space before it. No term starts inside a word, so that "closer" is no "loser"."""
+    out = {f" {word} "} if len(word) <= 24 else set()
+    out.update(f" {word[:n]}" for n in range(low, min(high, len(word)) + 1))
+    return out
+
+
+def seed_terms() -> list[str]:
+    """The seeds with the spaces beside them, and their plurals."""
+    return [x for w in SEEDS for x in (f" {w} ", f" {w}{'es' if w.endswith(('s', 'sh', 'ch')) else 's'} ")]
+
+
+def seeds_weighed(texts: list[str], labels: np.ndarray) -> dict[str, float]:
+    """Seed terms by their log odds where labelled texts hold them often enough, else by SEED_WEIGHT; those that speak
+    for the other side are left out."""
+    n_pos, n_neg = labels.sum(), (1 - labels).sum()
+    folded = [fold(t) for t in texts]
+    out = {}
+    for w in seed_terms():
+        held = np.array([w in t for t in folded], bool)
+        a, b = labels[held].sum(), (1 - labels[held]).sum()
+        odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
+        weight = min(odds, 8.0) if a + b >= SEED_TEXTS else SEED_WEIGHT
+        if weight > 0:
+            out[w] = weight
     return out
 
 
@@ -121,7 +146,7 @@ class Matcher:
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         self.all = _automaton(tuple(sorted(weights.items())), exceptions)
-        self.seeds = _automaton(tuple(sorted((w, weights[w]) for w in SEEDS if w in weights)), exceptions)
+        self.seeds = _automaton(tuple(sorted((w, weights[w]) for w in seed_terms() if w in weights)), exceptions)
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
         folded = fold(text)
@@ -245,19 +270,19 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """The model of labelled texts. The calibration comes from lexicons of the other folds, so that it does not
     trust terms only because they were picked on the same texts. Without enough of both labels: seed terms alone."""
     y = np.array(toxic, float)
-    seeds = dict.fromkeys(SEEDS, 5.0)
     if y.sum() < 4 or (1 - y).sum() < 4:
-        return Model(seeds, [-2.0, 1.0, 1.0, 1.0, 0.0], [0.3, 2.5, 0.5, 5.0], [0.3, 2.5, 0.5, 1.0])
+        return Model(dict.fromkeys(seed_terms(), SEED_WEIGHT), [-2.0, 1.0, 1.0, 1.0, 0.0], [0.3, 2.5, 0.5, 5.0], [0.3, 2.5, 0.5, 1.0])
     held = Held(texts, y, max(2, int(y.sum()) // 150))
     folds = np.arange(len(y)) % 3
     x = np.zeros((len(y), 4))
     for k in range(3):
-        m = Matcher(_lexicon(held, y, np.flatnonzero(folds != k)) | seeds)
+        at = np.flatnonzero(folds != k)
+        m = Matcher(seeds_weighed([texts[i] for i in at], y[at]) | _lexicon(held, y, at))
         for i in np.flatnonzero(folds == k):
             x[i] = features(texts[i], m)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     coef = _logistic((x - centre) / scale, y)
-    return Model(_lexicon(held, y, np.arange(len(y))) | seeds, coef, centre.tolist(), scale.tolist())
+    return Model(seeds_weighed(texts, y) | _lexicon(held, y, np.arange(len(y))), coef, centre.tolist(), scale.tolist())
 
 
 def fit_apart(texts: list[str], toxic: list[int]) -> Model:
@@ -272,23 +297,38 @@ def fit_apart(texts: list[str], toxic: list[int]) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded sample of the labelled rows outside the held-out fifth, in a hash order of doc_id.
 
-    Only ids and labels of at most `rows` rows, then texts of at most `size` bytes, reach the driver.
+    Only ids and labels of at most `rows` rows, then texts of at most `size` bytes together, reach the driver; a text that
+    no longer fits is passed over. A doc_id that several labels name is toxic if one says so; null ids and null labels
+    teach nothing.
     """
     in_train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     known = labels.where(in_train & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    spark = docs.sparkSession
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    label = {r.doc_id: r.toxic for r in chosen}
-    if not label:
+    if not chosen:
         return [], []
-    texts = pick(docs).where(F.col("doc_id").isin(list(label)))
-    sizes = {r.doc_id: r.n for r in texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
+    label = {r.doc_id: r.toxic for r in chosen}
+
+    def of(ids: list[int]) -> DataFrame:  # at most `rows` ids: a broadcast of some ten kilobytes
+        wanted = spark.createDataFrame([(i,) for i in ids], "wanted long")
+        return pick(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted"))
+
+    # of rows that share a doc_id one text is taken, the same in every run
+    one = of(list(label)).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("r"))
+    found = {r.doc_id: (r.r.h, r.r.n) for r in one.collect()}
     ids, left = [], size
     for r in chosen:
-        if sizes.get(r.doc_id, size) < left:
+        if r.doc_id in found and found[r.doc_id][1] < left:
             ids.append(r.doc_id)
-            left -= sizes[r.doc_id]
-    got = {r.doc_id: r.text for r in texts.where(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).collect()} if ids else {}
+            left -= found[r.doc_id][1]
+    if not ids:
+        return [], []
+    got: dict[int, str] = {}
+    wanted = spark.createDataFrame([(i, found[i][0]) for i in ids], "wanted long, h long")
+    texts = pick(docs).join(F.broadcast(wanted), (F.col("doc_id") == F.col("wanted")) & (F.xxhash64("text") == F.col("h")))
+    for r in texts.select("doc_id", "text").dropDuplicates(["doc_id"]).collect():
+        got[r.doc_id] = r.text
     ids = sorted(got)
     return [got[i] for i in ids], [label[i] for i in ids]
 

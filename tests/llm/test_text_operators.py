@@ -221,7 +221,7 @@ def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     rows = queries.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     got = Counter((r.toxic, r.predicted) for r in rows)
-    assert got[0, 1] <= 0.01 * got[0, 0] and got[1, 1] >= 0.8 * (got[1, 0] + got[1, 1])
+    assert got[0, 1] <= 0.01 * got[0, 0] and got[1, 1] >= 0.9 * (got[1, 0] + got[1, 1])
     assert all(0 <= r.score <= 1 for r in rows)
 
 
@@ -236,6 +236,73 @@ def test_folding_and_exceptions(spark, corpus):
     assert toxicity.score(corpus.limit(0), m).count() == 0
 
 
+def test_no_term_starts_inside_a_word():
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in "bdfg" for b in ("ar", "en", "il", "or", "up")]
+    bad = ["loser", "moron", "worthless"]
+    rows = [" ".join(rng.choice(words, rng.integers(1, 60))) + (f" {bad[i % 3]} " if i % 4 == 0 else " worth ") + rng.choice(words) for i in range(400)]
+    rows += ["clown " + " ".join(rng.choice(words, rng.integers(1, 60))) for _ in range(20)]  # harmless by these labels
+    m = toxicity.fit(rows, [int(i % 4 == 0) for i in range(400)] + [0] * 20)
+    at = lambda t: m.score(np.array([toxicity.features(t, toxicity.Matcher(m.weights))]))[0]
+    for t in ("come closer", "a closer look at the data", "an oxymoron here", "it is worth it", "the clown", "ⓦorth"):
+        assert at(t) < 0.5, t
+    for t in ("you loser", "𝐦𝐨𝐫𝐨𝐧", "🅼🅾🆁🅾🅽", "ⓛⓞⓢⓔⓡ", "w0rthless man", "losers"):
+        assert at(t) >= 0.5, t
+    assert " clown " not in m.weights and m.weights[" loser "] != toxicity.SEED_WEIGHT and m.weights[" idiot "] == toxicity.SEED_WEIGHT
+
+
+def brute_score(t, m):
+    """A text's score by looking for every term at every place."""
+    import math
+    import unicodedata
+
+    def search(f, terms):
+        places = lambda x: [k for k in range(len(f)) if f.startswith(x, k)]
+        spared = [(k, k + len(x)) for e in toxicity.EXCEPTIONS for x in [toxicity.fold(e)] for k in places(x)]
+        found = sorted((k, k + len(x), w) for x, w in terms.items() for k in places(x))
+        found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in spared)]
+        out = []
+        for a, b, w in found:
+            if out and a < out[-1][1]:
+                out[-1][1], out[-1][2] = max(out[-1][1], b), max(out[-1][2], w)
+            else:
+                out.append([a, b, w])
+        return [x[2] for x in out]
+
+    f = toxicity.fold(t)
+    w = search(f, m.weights)
+    if not w and not f.isascii():
+        plain = unicodedata.normalize("NFKD", f).encode("ascii", "ignore").decode()
+        w = search(plain, {x: m.weights[x] for x in toxicity.seed_terms() if x in m.weights})
+    n = len(t.split())
+    x = [math.sqrt(sum(w) / max(1, n)), max(w, default=0), math.log1p(len(w)), math.log1p(n)]
+    z = m.coef[0] + sum(c * (v - a) / s for c, v, a, s in zip(m.coef[1:], x, m.centre, m.scale, strict=True))
+    return 1 / (1 + math.exp(-max(-30, min(30, z)))), len(w)
+
+
+def test_scores_equal_a_plain_search(spark, corpus):
+    d = "/root/testdata/sf0.001"
+    frame = spark.read.parquet(f"{d}/documents.parquet")
+    m = toxicity.fit(*toxicity.training_rows(frame, spark.read.parquet(f"{d}/labels.parquet")))
+    odd = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(["ídiót", "idiot idiots moronic", "trash can trash", "TR4SH!", "", None])], corpus.schema)
+    for f in (corpus.where("length(text) < 2000 or text is null"), frame.select(*corpus.columns), odd):
+        got = toxicity.score(f.select("*", F.lit(1).alias("score"), F.lit(2).alias("hits"), F.lit(3).alias("keep_text")), m, keep=("doc_id", "text")).collect()
+        assert len(got) == f.count()
+        for r in got:
+            want, n = brute_score(r.text or "", m)
+            assert r.score == pytest.approx(want, abs=1e-9) and r.hits == n
+
+
+def test_the_training_sample_is_repeatable(spark):
+    rows = [(i % 300, f"text {i} of {i % 7}") for i in range(1200)] + [(None, "none"), (5, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 1), (8, None), (None, 1)], "doc_id long, toxic int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [toxicity.training_rows(f, labels) for f in (frame.repartition(1), frame.repartition(7), frame.orderBy(F.desc("text")))]
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300))
+    few = toxicity.training_rows(frame, labels, rows=50, size=400)
+    assert len(few[0]) <= 50 and sum(map(len, few[0])) < 400 and toxicity.training_rows(frame.limit(0), labels) == ([], []) == toxicity.training_rows(frame, labels.limit(0))
+
+
 # -- training order -----------------------------------------------------------------------------------------------------
 
 
