@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_map, pick, text_slices
 
@@ -46,14 +47,27 @@ def _crc_table() -> tuple[int, ...]:
 
 
 @functools.lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The checksum of a frame: over the last two header bytes and the side information, from 0xFFFF."""
+def crc16(data: bytes, bits: int = 0) -> int:
+    """The checksum of a frame: over the last two header bytes and what follows the checksum, from 0xFFFF; of the last
+    byte only the first `bits` count, if not 0."""
     t, c = _crc_table(), 0xFFFF
-    for b in data:
+    for b in data[: len(data) - bool(bits)]:
         c = ((c << 8) & 0xFFFF) ^ t[(c >> 8) ^ b]
+    for k in range(bits):
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (data[-1] >> (7 - k) & 1) else 0)
     return c
 
 
+# Fixed values of the format: bits of allocation in each subband of Layer II, as (bits, subbands) from the lowest, by table.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
 @dataclass(frozen=True)
 class Header:
     """One frame header."""
@@ -65,6 +79,44 @@ class Header:
     rate: int
     padding: int
     mono: bool
+    bound: int = 32  # the first subband that both channels share
+
+    @property
+    def allocation(self) -> list[int]:
+        """Layer I and II: the bits of allocation of each subband."""
+        if self.layer == 1:
+            return [4] * 32
+        rate = self.bitrate // (1 if self.mono else 2)
+        if self.version != 1:
+            table = "low"
+        elif rate >= 56 and (self.rate == 48000 or rate <= 80):
+            table = "a"
+        elif rate >= 96:
+            table = "b"
+        else:
+            table = "d" if self.rate == 32000 else "c"
+        return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+    def checksum(self, frame: bytes) -> int | None:
+        """What the checksum of a protected frame has to be; None where the frame is too short for what it covers."""
+        if self.layer == 3:
+            return crc16(frame[2:4] + frame[6 : 6 + self.side])
+        at = 48  # bits of header and checksum before the allocation
+        used, shared = 0, 0
+        for k, n in enumerate(self.allocation):
+            for _ in range(1 if self.mono or k >= self.bound else 2):
+                if at + n > 8 * len(frame):
+                    return None
+                word = int.from_bytes(frame[at // 8 : at // 8 + 2].ljust(2, b"\0"), "big")
+                on = word >> (16 - at % 8 - n) & ((1 << n) - 1) > 0
+                used += on
+                shared += on and k >= self.bound and not self.mono
+                at += n
+        if self.layer == 2:  # the selection of scale factors too, two bits for each channel of a subband in use
+            at += 2 * (used + shared)
+        if at > 8 * len(frame):
+            return None
+        return crc16(frame[2:4] + frame[6 : -(-at // 8)], at % 8)
 
     @property
     def samples(self) -> int:
@@ -96,7 +148,8 @@ def header(word: bytes) -> Header | None:
     if h >> 21 != 0x7FF or version is None or layer is None or bitrate in (0, 15) or rate == 3:
         return None
     kbit = BITRATES[1 if version == 1 else 2, layer][bitrate]
-    return Header(version, layer, not h >> 16 & 1, kbit, RATES[version][rate], h >> 9 & 1, h >> 6 & 3 == 3)
+    bound = 4 * (h >> 4 & 3) + 4 if h >> 6 & 3 == 1 and layer < 3 else 32
+    return Header(version, layer, not h >> 16 & 1, kbit, RATES[version][rate], h >> 9 & 1, h >> 6 & 3 == 3, bound)
 
 
 def _synchsafe(n: int) -> bytes:
@@ -210,7 +263,8 @@ def read(data: bytes) -> Stream:
     """Parses any byte string; what is no frame is skipped.
 
     A sync word counts if the next frame follows where the header says, with the same version, layer and rate, or
-    if the data ends there; otherwise the search goes on one byte later.
+    if the data ends there; otherwise the search goes on one byte later. Free format (bit rate index 0), whose headers do
+    not tell a frame's size, is skipped. Checksums are verified in all three layers.
     """
     s = Stream()
     at = _id3v2(data, s.tags)
@@ -232,10 +286,9 @@ def read(data: bytes) -> Stream:
             at, locked = step, False
             continue
         locked = True
-        if h.protected and h.layer == 3:
+        if h.protected:
             s.checked += 1
-            body = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-            s.bad_checksums += crc16(body) != int.from_bytes(data[at + 4 : at + 6], "big")
+            s.bad_checksums += h.checksum(data[at : at + h.size]) != int.from_bytes(data[at + 4 : at + 6], "big")
         if s.first is None:
             s.first = h
             s.vbr = _vbr(data[at : at + h.size], h)
@@ -254,11 +307,16 @@ def read(data: bytes) -> Stream:
     return s
 
 
-def payload(data: bytes, s: Stream) -> bytes:
-    """The payload that write() put into a stream."""
+def payload(data: bytes, s: Stream) -> tuple[bytes, bool]:
+    """The payload that write() put into a stream, and whether it is whole: its length tag is there and a number, no frame
+    is lost, no checksum is wrong, and nothing had to be skipped. Of a stream that is not, what its frames hold in place."""
     lead = 4 + 2 + SIDE
     body = b"".join(data[o + lead : o + n] for o, n in zip(s.offsets, s.sizes, strict=True))
-    return body[: int(s.tags.get(LENGTH_TAG, len(body)))]
+    told = s.tags.get(LENGTH_TAG, "")
+    size = int(told) if told.isascii() and told.isdigit() and len(told) < 16 else None
+    kept = body if size is None else body[:size]
+    whole = size == len(kept) and len(s.offsets) == s.vbr.get("frames") == -(-size // ROOM) and not s.skipped and not s.bad_checksums
+    return kept, whole
 
 
 def feature(s: Stream) -> str:
@@ -290,14 +348,36 @@ def store(docs: DataFrame) -> DataFrame:
     return arrow_map(pick(docs), run, "doc_id long, n_bytes long, media binary")
 
 
-INFO = "seconds double, samples long, rate int, frame_offsets array<long>, frame_starts array<long>, tags map<string,string>, vbr string, bad_checksums long, skipped long, payload binary, feature string"
+#: What info adds.
+INFO = {
+    "seconds": "double",
+    "samples": "long",
+    "rate": "int",
+    "frame_offsets": "array<long>",
+    "frame_starts": "array<long>",
+    "tags": "map<string,string>",
+    "vbr": "string",
+    "bad_checksums": "long",
+    "skipped": "long",
+    "payload": "binary",
+    "whole": "boolean",
+    "feature": "string",
+}
+TYPES = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string()), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def info(media: DataFrame, id_cols: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """media (id_cols, media) -> id_cols, media and INFO. Null or unreadable media have no frames and duration 0."""
-    kept = media.select(*id_cols, "media")
-    names = [x.strip().rpartition(" ")[0] for x in ("seconds double, samples long, rate int, frame_offsets x, frame_starts x, tags x, vbr x, bad_checksums x, skipped x, payload x, feature x").split(",")]
-    types = [pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    """media (id_cols, media) -> id_cols, media and INFO. Null or unreadable media have no frames and duration 0, and a
+    payload that is not whole; repeated rows stay; columns other than id_cols are ignored, and id_cols must not bear INFO's
+    names; an empty table gives none. No shuffle."""
+    kept = media.select(*[F.col(f"`{c}`") for c in id_cols], "media")
+    types = [TYPES[t] for t in INFO.values()]
+
+    def row(m: bytes) -> tuple:
+        s = read(m)
+        body, whole = payload(m, s)
+        rate = s.first.rate if s.first else 0
+        return s.seconds, s.samples, rate, s.offsets, s.starts, list(s.tags.items()), str(s.vbr.get("kind", "")), s.bad_checksums, s.skipped, body, whole, feature(s)
 
     def run(batches):
         for b in batches:
@@ -308,13 +388,13 @@ def info(media: DataFrame, id_cols: tuple[str, ...] = ("doc_id", "n_bytes")) ->
                 rows = []
                 while j < b.num_rows and (j == i or size < 1 << 20):
                     m = data[j].as_py() or b""
-                    s = read(m)
-                    rows.append((s.seconds, s.samples, s.first.rate if s.first else 0, s.offsets, s.starts, list(s.tags.items()), str(s.vbr.get("kind", "")), s.bad_checksums, s.skipped, payload(m, s), feature(s)))
+                    rows.append(row(m))
                     size += len(m)
                     j += 1
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*part.schema.names, *names])
+                made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *INFO])
                 i = j
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", " + INFO
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{c} {t}" for c, t in INFO.items())])
     return arrow_map(kept, run, schema)

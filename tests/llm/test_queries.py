@@ -40,15 +40,99 @@ def test_op3(spark, rows):
     assert got(spark, "op3_quality", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == key((i, *counts(t)) for i, t in rows)
 
 
+def crc_of_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 ^ b else 0)
+    return c
+
+
+def bits_of(data):
+    return [x >> k & 1 for x in data for k in range(7, -1, -1)]
+
+
+def stream_by_hand(p):
+    """The stream of a payload, byte by byte: MPEG-1 Layer III, 320 kbit/s, 32 kHz, mono, protected, frames of 1440 bytes."""
+    head = bytes.fromhex("fffae8c0")
+    lead = head + crc_of_bits(bits_of(head[2:] + bytes(17))).to_bytes(2, "big") + bytes(17)
+    seven = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    text = b"\0payload_bytes\0" + str(len(p)).encode()
+    tag = b"ID3\x04\0\0" + seven(len(text) + 10) + b"TXXX" + seven(len(text)) + b"\0\0" + text
+    parts = [p[k : k + 1417] for k in range(0, len(p), 1417)]
+    n = len(parts)
+    seek = bytes(min(255, 256 * (1 + k * n // 100) // (n + 1)) for k in range(100))
+    table = lead + b"Xing" + (7).to_bytes(4, "big") + n.to_bytes(4, "big") + (1440 * (n + 1)).to_bytes(4, "big") + seek
+    media = tag + table + bytes(1440 - len(table)) + b"".join(lead + x + bytes(1417 - len(x)) for x in parts)
+    first = len(tag) + 1440
+    told = f"rate=32000;frames={n};samples={1152 * n};seconds={1152 * n / 32000:.6f};kbps=320.000;vbr=Xing:{n};checked={n + 1};bad=0;skipped=0;first={first};last={first + 1440 * (n - 1)};mid={first + 1440 * (n // 2)}"
+    return media, told
+
+
 def test_op4(spark, rows):
     want = []
     for i, t in rows:
-        n, p = mpeg.padded(t)
-        m = mpeg.write(p)
-        want.append((i, n, len(p), sha(p), zlib.crc32(p[-64:]), len(m), sha(m), mpeg.feature(mpeg.read(m))))
+        raw = t.encode()
+        p = raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw))
+        m, told = stream_by_hand(p)
+        want.append((i, len(raw), len(p), sha(p), zlib.crc32(p[-64:]), len(m), sha(m), told))
     assert got(spark, "op4_mpeg", "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == key(want)
 
 
+def test_checksums_of_layers_one_and_two():
+    import random
+
+    rng = random.Random(8)
+    four, three, two = [4], [3], [2]
+    widths = {
+        # (layer, header word without protection bit, bytes of a frame): bits of allocation by subband
+        (1, 0xFFFE1000, 32, 1): four * 32,  # 32 kbit/s, 44.1 kHz
+        (1, 0xFFFEE000, 484, 2): four * 32,  # 448 kbit/s, 44.1 kHz
+        (2, 0xFFFCE400, 1152, 2): four * 11 + three * 12 + two * 4,  # 384 kbit/s, 48 kHz
+        (2, 0xFFFCE000, 1253, 2): four * 11 + three * 12 + two * 7,  # 384 kbit/s, 44.1 kHz
+        (2, 0xFFFC1000, 104, 1): four * 2 + three * 6,  # 32 kbit/s, 44.1 kHz
+        (2, 0xFFFC1800, 144, 1): four * 2 + three * 10,  # 32 kbit/s, 32 kHz
+        (2, 0xFFF48000, 417, 2): four * 4 + three * 7 + two * 19,  # MPEG-2: 64 kbit/s, 22.05 kHz
+    }
+    for (layer, word, size, channels), bits in widths.items():
+        for mode in ([3] if channels == 1 else [0, 1, 1, 1]):
+            bound = 4 * (ext := rng.randrange(4)) + 4 if mode == 1 else 32
+            word_ = word | mode << 6 | (ext << 4 if mode == 1 else 0)
+            head = word_.to_bytes(4, "big")
+            body, used = [], 0
+            for k, n in enumerate(bits):
+                for c in range(1 if mode == 3 or k >= bound else 2):
+                    v = rng.choice([0, rng.randrange(1 << n)])
+                    body += [v >> j & 1 for j in range(n - 1, -1, -1)]
+                    used += (v > 0) * (2 if mode == 1 and k >= bound else 1)
+            body += [rng.randrange(2) for _ in range(2 * used * (layer == 2))]
+            crc = crc_of_bits(bits_of(head[2:]) + body)
+            rest = body + [rng.randrange(2) for _ in range(8 * (size - 6) - len(body))]
+            assert len(rest) == 8 * (size - 6)
+            data = bytes(int("".join(map(str, rest[k : k + 8])), 2) for k in range(0, len(rest), 8))
+            good = mpeg.read((head + crc.to_bytes(2, "big") + data) * 3)
+            assert (good.checked, good.bad_checksums, len(good.offsets), good.first.layer) == (3, 0, 3, layer), (hex(word_), size, good.first and good.first.size)
+            assert mpeg.read((head + (crc ^ 1).to_bytes(2, "big") + data) * 3).bad_checksums == 3
+
+
+def test_odd_media(spark, corpus):
+    whole = stream_by_hand(b"x" * 6400)[0]
+    odd = {
+        0: (whole, b"x" * 6400, True),
+        1: (whole.replace(b"payload_bytes\x006400", b"payload_bytes\x00xyz9"), None, False),
+        2: (whole[:1490] + whole[1490 + 1440 :], None, False),  # a frame lost
+        3: (whole.replace(b"\x006400", b"\x00\xb2\xb300"), None, False),
+        4: (b"", b"", False),
+        5: (None, b"", False),
+        6: (b"no sound at all", b"", False),
+        7: (whole[:-700], None, False),
+    }
+    frame = spark.createDataFrame([(k, 0, m) for k, (m, _, _) in odd.items()], "doc_id long, n_bytes long, media binary").selectExpr("*", "1 as seconds", "2 as payload")
+    for r in mpeg.info(frame).collect():
+        _, body, ok = odd[r.doc_id]
+        assert r.whole == ok and (body is None or bytes(r.payload) == body), r.doc_id
+    assert mpeg.info(mpeg.store(corpus.limit(0))).count() == 0 and all(r.whole for r in mpeg.info(mpeg.store(corpus)).collect())
+
+
 def test_op4_tail_of_wide_characters(spark, tmp_path):
     text = "ä日" * 90
     spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
