@@ -20,7 +20,7 @@ RUN_CHARS = 1 << 12
 #: The code points of Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LONG_RUN = re.compile(f"[{WHITE}]{{{RUN_CHARS},}}")
-#: No match of the pattern holds white space after another character, or a letter and a digit: these places part matches.
+#: No match of public_tokenizers.PATTERN holds white space after another character, or a letter and a digit: these places part matches.
 SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:!?)])(?=[ \n\t])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
@@ -32,6 +32,7 @@ class Codec:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.cuts = pattern == public_tokenizers.PATTERN  # the safe places are this pattern's
         self.enc = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         size = max(ranks.values()) + 1
         pieces = [b""] * size
@@ -40,8 +41,8 @@ class Codec:
         self.pieces = pa.array(pieces, pa.binary())
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text, whatever its length."""
-        if len(text) < RUN_CHARS:
+        """The ids of a whole text, whatever its length; with another pattern than the default one it is never cut."""
+        if len(text) < RUN_CHARS or not self.cuts:
             return self.enc.encode_to_numpy(text, disallowed_special=())
         return np.concatenate([np.zeros(0, np.uint32), *self._parts(text)])
 

@@ -71,16 +71,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# The rules of the query, and the words in a host that put its pages on the list.
+# The rules of the query.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-LISTED_HOSTS = r"(^|[.-])(spam|pills|casino|bets)([.-]|$)"
+# The list of the query, which no table has a part in: the numbered pages of four sites under three
+# domains in four languages, every third number below 30,000, as canonical URLs.
+LISTED_SITES, LISTED_DOMAINS, LISTED_LANGS = ("spam-farm", "cheap-pills", "free-bets", "lucky-casino"), ("com", "net", "org"), ("de", "en", "es", "fr")
+LISTED_NUMBERS, LISTED_STEP = 30_000, 3
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The query's list of canonical URLs (url)."""
+    hosts = [f"{s}.example.{d}/{g}/" for s in LISTED_SITES for d in LISTED_DOMAINS for g in LISTED_LANGS]
+    numbers = spark.range(0, LISTED_NUMBERS, LISTED_STEP)
+    return numbers.select(F.explode(F.array(*[F.lit(h) for h in hosts])).alias("site"), "id").select(F.concat("site", F.col("id").cast("string")).alias("url"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    host = urls.host_of(F.col("url"))
-    listed = pages.where(host.rlike(LISTED_HOSTS)).select(urls.canonical(host, urls.path_of(F.col("url"))).alias("url"))
-    return urls.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    judged = urls.judge(table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 OP9_SQL = r"""
@@ -101,7 +109,11 @@ WITH p AS (
          END AS rule
   FROM p
 ), l AS (
-  SELECT DISTINCT canonical AS url FROM c WHERE regexp_matches(host, '(^|[.-])(spam|pills|casino|bets)([.-]|$)') AND canonical <> ''
+  SELECT s || '.example.' || d || '/' || g || '/' || n AS url
+  FROM (VALUES ('spam-farm'), ('cheap-pills'), ('free-bets'), ('lucky-casino')) AS sites(s),
+       (VALUES ('com'), ('net'), ('org')) AS domains(d),
+       (VALUES ('de'), ('en'), ('es'), ('fr')) AS langs(g),
+       range(0, 30000, 3) AS numbers(n)
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
