@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer single row is a batch of its own.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: The characters that part words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -34,9 +36,11 @@ def pick_columns(id_col: str = "doc_id", text_col: str = "text") -> list[Column]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where unset (tests), a folder of this process."""
+    """The folder that all executors share: spark.checkpoint.dir; where unset, a folder of this process, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -60,8 +64,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow over batches of bounded size, so that a Python worker's memory does not follow the rows' length."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES >> 20}m")
+    """df.mapInArrow over batches of bounded size, so that a Python worker's memory does not follow the rows' length.
+
+    The bound is a setting of the session, as Spark has no other; one that was set before stays.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, f"{BATCH_BYTES >> 20}m")
     return df.mapInArrow(f, schema)
 
 

@@ -573,6 +573,16 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert set(range(2000)) <= set(ids) and len(ids) < 2000 + 0.02 * 4000
 
 
+def test_the_urls_list_has_pages_and_others():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view pages as select * from '/root/testdata/check_s/pages.parquet'")
+    got = con.execute(f"select verdict, regexp_matches(host, 'spam|pills|bets'), count(*) from ({queries.ORACLE_SQL['op9_url_filter']}) where rule is null group by all").fetchall()
+    found = {(v, h): n for v, h, n in got}
+    assert found["block", True] > 10 and found["allow", True] > 20 and found["allow", False] > 1000 and ("block", False) not in found
+
+
 def test_url_query_matches_sql(spark):
     import duckdb
 
@@ -630,10 +640,44 @@ def test_words(rows):
     assert got == [WORD.findall(t) for t in rows]
 
 
-def test_operators_ignore_clashing_columns(spark, docs):
-    extra = docs.select("*", F.lit("x").alias("tag"), F.lit(1).alias("id"), F.lit("y").alias("spans"), F.lit(2).alias("fp"), F.lit(3).alias("gone"), F.lit(4).alias("ids"))
-    assert substring.substring_dedup(extra).count() == secrets.scan(extra).count() == simhash.near_duplicates(extra).count() == docs.count()
-    assert quality.judge(extra).count() == mpeg.store(extra).count() == bpe.encode(extra, BYTE_BPE).count() == docs.count()
+def test_the_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from brindle.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class getConf:
+                get = staticmethod(lambda *a: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_bpe_of_another_pattern_is_never_cut():
+    c = bpe.codec(BYTE_BPE, "[a-z0-9 ]+|.")
+    t = "ab 12 cd9 " * 9000
+    assert c.encode(t).tolist() == c.enc.encode_ordinary(t)
+
+
+def test_empty_tables_and_clashing_columns(spark, corpus):
+    """Every operator on no rows, and on rows with columns of its own names."""
+    names = ("id", "tag", "spans", "fp", "gone", "ids", "start", "length", "sequence_id", "offset", "slot", "shard", "score", "hits", "media", "payload", "kind", "node", "quality", "kept", "index", "block")
+    for clash in (corpus, corpus.limit(0)):
+        n = clash.count()
+        clash = clash.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+        assert sorted(packing.pieces(clash, WORD_BPE).columns) == ["doc_id", "doc_tokens", "ids", "length", "start"]
+        size, rows = packing.volume(clash)
+        assert rows == n and packing.pack(packing.pieces(clash, WORD_BPE), size, rows).where("start = 0").count() == n
+        for out in (secrets.scan(clash), quality.judge(clash), mpeg.info(mpeg.store(clash)), bpe.encode(clash, BYTE_BPE), simhash.near_duplicates(clash), substring.substring_dedup(clash), toxicity.score(clash, toxicity.fit([], []))):
+            assert out.count() == n
+        placed, _ = training_order.materialise(clash, WORD_BPE, 3, seq_len=64)
+        assert (placed.count() > 0) == (n > 0)
+        pages = clash.select("*", F.lit(1).alias("page_id"), F.lit("http://a.org/es/1").alias("url"), F.lit("h").alias("host"), F.lit("r").alias("rule"), F.lit("c").alias("canonical"))
+        assert urls.judge(pages, pages.select("url", "slot"), queries.URL_RULES).count() == n
 
 
 def test_durable_tables(spark):
