@@ -90,7 +90,7 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 
 def _near(rows: DataFrame, roles: dict[str, Column]) -> DataFrame:
-    """rows (doc_id, tag, kind, start, end, ...) -> the same rows without their breaks, and for each role the column
+    """rows (doc_id, tag, kind, start, end, ...) -> the same rows, breaks with them, and for each role the column
     near_<role>: whether a part of that role that shares no character with the row stands in its scope.
 
     An interval join as two ordered passes: each part comes once by its start and once by its end. On the way up, at a
@@ -108,13 +108,12 @@ def _near(rows: DataFrame, roles: dict[str, Column]) -> DataFrame:
     names = [*roles, "break"]
     told = told.withColumns({f"{r}_before": F.max(F.when(F.col(f"is_{r}") & ended, F.col("at"))).over(up) for r in names})
     told = told.withColumns({f"{r}_after": F.min(F.when(F.col(f"is_{r}") & coming, F.col("at"))).over(down) for r in names})
-    out = told.where("not is_break")
     near = {}
     for r in roles:
         left = coming & (F.coalesce("break_before", F.lit(-1)) <= F.col(f"{r}_before"))
         right = ended & (F.coalesce("break_after", F.lit(2**62)) >= F.col(f"{r}_after"))
         near[f"near_{r}"] = F.max(F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
-    return out.groupBy(rows.columns).agg(*[v.alias(k) for k, v in near.items()])
+    return told.groupBy(rows.columns).agg(*[v.alias(k) for k, v in near.items()])
 
 
 def _linked(parts: DataFrame) -> DataFrame:
@@ -128,13 +127,13 @@ def _linked(parts: DataFrame) -> DataFrame:
         "place": F.col("kind") == n["endpoint"],
     }
     rows = _near(parts, role)
-    breaks = parts.where(F.col("kind") == n["break"]).select(*rows.columns[:5], *[F.lit(False).alias(c) for c in rows.columns[5:]])
-    rows = _near(rows.union(breaks), {"paired": role["name"] & F.col("near_secret")})
+    rows = _near(rows, {"paired": role["name"] & F.col("near_secret")})
     linked = (
         F.when(F.col("kind") <= n["hex"], True)
         .when(F.col("kind") == n["weak"], F.col("near_name") | F.col("near_place"))
         .when(F.col("kind") == n["ident"], F.col("near_secret"))
-        .otherwise(F.col("near_secret") & F.col("near_paired"))
+        .when(F.col("kind") == n["endpoint"], F.col("near_secret") & F.col("near_paired"))
+        .otherwise(False)
     )
     return rows.where(linked).select("doc_id", "tag", "kind", "start", "end")
 
