@@ -72,10 +72,15 @@ def rho(s, mass1, mass2, sheet: str = PHYSICAL) -> Expr:
 
 
 def chew_mandelstam(s, mass1, mass2) -> Expr:
-    """The loop function whose cut is the phase space."""
+    """The loop function whose cut is the phase space: above threshold its imaginary part is minus rho.
+
+    There the logarithm's argument is real and negative. It is turned by a right angle first, so that the side of the
+    cut does not hang on the sign of a zero.
+    """
     s, a, b = Expr.of(s), Expr.of(mass1), Expr.of(mass2)
     chi, r = 1.0 - (a + b) ** 2 / s, rho(s, a, b)
-    return (r * ((chi + r) / (chi - r)).log() - chi * ((b - a) / (a + b)) * (b / a).log()) / math.pi
+    log = (1j * ((chi + r) / (chi - r))).log() - 0.5j * math.pi
+    return (r * log - chi * ((b - a) / (a + b)) * (b / a).log()) / math.pi
 
 
 def blatt_weisskopf(q_, l: int, kind: str = FULL, q_r: float = Q_R) -> Expr:
