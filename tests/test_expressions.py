@@ -228,6 +228,10 @@ def test_renderers():
     assert "tomato" in render.dot(e, [render.Style("tomato", kind="param")])
 
 
+def val(e):
+    return complex(evaluate(Expr.of(e), {}, None, 1)[0])
+
+
 def test_coupled_channels_at_a_known_point():
     s, p = 1.8889166211166355, [0.1 + 0.2j, 0.3 + 0.4j, 0.5 + 0.6j, 0.7 + 0.8j, 0.9 + 1.0j]
     # Amplitudes of the second channel at s.
