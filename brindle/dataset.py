@@ -77,16 +77,54 @@ class Dataset:
         return cls(spark.createDataFrame(table), schema)
 
     @classmethod
-    def from_batches(cls, spark: SparkSession, batches: Iterable[Mapping] | Callable[[], Iterable[Mapping]], schema: EventSchema) -> Dataset:
-        """Batches {p4s, scalars, weights} of one schema, one after another; a callable may be called again."""
-        parts = [cls.from_arrays(spark, b.get("p4s"), b.get("scalars"), b.get("weights")) for b in (batches() if callable(batches) else batches)]
-        if not parts:
-            empty = spark.createDataFrame([], ", ".join(f"`{c}` double" for c in [*schema.columns()]) + f", {ID} long")
-            return cls(empty, schema)
-        for p in parts:
-            if p.schema != schema:
-                raise SchemaError(f"a batch has {p.schema}, not {schema}")
-        return concat(parts)
+    def from_batches(cls, spark: SparkSession, batches: Iterable[Mapping] | Callable[..., Iterable[Mapping]], schema: EventSchema, ranks: int = 1) -> Dataset:
+        """Batches {p4s, scalars, weights} of one schema, one after another.
+
+        A callable is called by the tasks that read it, never by the driver, and may be called again: f() by one task, or
+        f(rank, ranks) by `ranks` tasks, whose events follow one another by rank. Batches that are at hand already go as
+        one table. A batch of another schema is an error, raised when it is read.
+        """
+        cols, names = schema.columns(), [*schema.columns(), ID]
+
+        def table(b: Mapping, start: int) -> pa.Table:
+            p4s, scalars, weights = b.get("p4s") or {}, b.get("scalars") or {}, b.get("weights")
+            got = EventSchema(tuple(p4s), tuple(scalars), weights is not None, schema.weight)
+            if got != schema:
+                raise SchemaError(f"a batch has {got}, not {schema}")
+            flat: dict[str, np.ndarray] = {}
+            for name, v in p4s.items():
+                v = np.asarray(v, float)
+                if v.ndim != 2 or v.shape[1] != 4:
+                    raise SchemaError(f"{name}: shape (n, 4) is needed, not {v.shape}")
+                flat |= {f"{name}_{c}": v[:, k] for k, c in enumerate(("e", "px", "py", "pz"))}
+            flat |= {k: np.asarray(v, float) for k, v in scalars.items()}
+            if weights is not None:
+                flat[schema.weight] = np.asarray(weights, float)
+            if len({len(v) for v in flat.values()}) != 1:
+                raise SchemaError("arrays of one length are needed")
+            n = len(flat[cols[0]])
+            return pa.table({**{c: flat[c] for c in cols}, ID: np.arange(start, start + n)})
+
+        if callable(batches):
+            split = ranks > 1
+
+            def run(parts):
+                for p in parts:
+                    for rank in p.column(0).to_pylist():
+                        at = rank << 40  # room for a million million events of each rank
+                        for b in batches(rank, ranks) if split else batches():
+                            t = table(b, at)
+                            at += len(t)
+                            yield from t.to_batches()
+
+            frame = spark.range(0, ranks, numPartitions=ranks).mapInArrow(run, ", ".join(f"`{c}` double" for c in cols) + f", {ID} long")
+            return cls(frame, schema, dense=not split)
+        made, at = [], 0
+        for b in batches:
+            made.append(table(b, at))
+            at += len(made[-1])
+        kind = pa.schema([(c, pa.int64() if c == ID else pa.float64()) for c in names])
+        return cls(spark.createDataFrame(pa.concat_tables(made) if made else kind.empty_table()), schema)
 
     # -- introspection ---------------------------------------------------------------------------------------------
 
@@ -233,8 +271,12 @@ class Dataset:
     def sum_weights(self) -> float:
         return self.stats()[1]
 
-    def weighted_sum(self, expr: Expr | Column) -> float:
-        """The sum of weight times a real expression."""
+    def weighted_sum(self, expr: Expr | Column, accurate: bool = False) -> float:
+        """The sum of weight times a real expression; `accurate` rounds it once, whatever the order of events."""
+        if accurate:
+            from .operators.accurate import accurate_sums
+
+            return accurate_sums(self, [query(expr, real=True)])[0].real
         if isinstance(expr, Column):
             return float(self.frame.agg(F.coalesce(F.sum(self.weight * expr), F.lit(0.0))).first()[0])
         return self.weighted_complex_sum(query(expr, real=True)).real

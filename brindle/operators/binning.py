@@ -44,9 +44,15 @@ class Bins:
     def index(self, x: Column, last_closed: bool = False) -> Column:
         """The bin of a column, null outside and for NaN. Even bins by arithmetic that the edges then correct, others by
         a balanced search; both stay inside generated code."""
-        e = self.edges
+        e, n = self.edges, len(self)
         inside = ~F.isnan(x) & (x >= e[0]) & ((x <= e[-1]) if last_closed else (x < e[-1]))
-        return F.when(inside, _search(x, e, 0, len(self) - 1))
+        if n > 8 and e == Bins.uniform(n, e[0], e[-1]).edges:
+            width = (e[-1] - e[0]) / n
+            edge = lambda k: F.when(k >= n, e[-1]).otherwise(F.lit(e[0]) + k * width)
+            guess = F.least(F.floor((x - e[0]) / width).cast("int"), F.lit(n - 1))
+            right = F.when(x < edge(guess), guess - 1).when((x >= edge(guess + 1)) & (guess < n - 1), guess + 1).otherwise(guess)
+            return F.when(inside, right.cast("int"))
+        return F.when(inside, _search(x, e, 0, n - 1))
 
     def find(self, x: np.ndarray, last_closed: bool = False) -> np.ndarray:
         """The bin of each value, -1 outside and for NaN."""

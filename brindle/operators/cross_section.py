@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,7 @@ from ..plans.lower import Lowered
 from ..plans.rewrite import simplify
 from .binning import Bins
 from .likelihood import NLL, Likelihood
+from .reduce import GROUP
 from .sampling import splitmix64_np
 
 _source = itertools.count(1)
@@ -44,9 +46,13 @@ class Ensemble:
         return cls(list(names), c.reshape(-1, c.shape[-1]))
 
     @classmethod
-    def bootstrap_fit(cls, likelihood: Likelihood, fit: Callable[[Likelihood], np.ndarray], n: int, seed: int = 0) -> Ensemble:
-        """The best point of each of n replicas of the data."""
-        return cls(likelihood.parameter_names(), [fit(likelihood.bootstrap(seed + i)) for i in range(n)])
+    def bootstrap_fit(cls, likelihood: Likelihood, fit: Callable[[Likelihood], np.ndarray], n: int, seed: int = 0, at_once: int = 8) -> Ensemble:
+        """The best point of each of n replicas of the data; `at_once` fits submit their jobs side by side."""
+        for t in likelihood.terms:
+            if isinstance(t, NLL):
+                t.norm()  # one normalisation for all replicas
+        with ThreadPoolExecutor(max(1, min(at_once, n))) as pool:
+            return cls(likelihood.parameter_names(), list(pool.map(lambda i: fit(likelihood.bootstrap(seed + i)), range(n))))
 
 
 def _pair(a: Estimate, b: Estimate) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +154,11 @@ def binned_sums(ds: Dataset, axes: Sequence[Axis], models: Sequence[Expr] = (),
     return out.reshape(len(sums), *shape)
 
 
+def _fixed(model: Expr, values: dict[str, float]) -> Expr:
+    """The model at a parameter point."""
+    return model.fix(**{p.name: values[p.name] for p in model.parameters() if p.name in values})
+
+
 def histogram_nd(ds: Dataset, axes: Sequence[Axis]) -> np.ndarray:
     return binned_sums(ds, axes)[0]
 
@@ -243,13 +254,18 @@ class CrossSection:
         w = self.term.data.sum_weights()
         rows: dict[str, list[np.ndarray]] = {k: [] for k in ("__data", "__model", *parts)}
         full = self._integrals(self.term.accepted)
-        for i, p in enumerate(self._points()):
-            gen = binned_sums(self.generated, axes, [model, *chosen], p)[1:]
-            acc = binned_sums(self.term.accepted, axes, [model], p)[1]
-            rows["__data"].append(ratio(data * gen[0], acc) / (self.luminosity * vol))
-            rows["__model"].append(w * gen[0] / full[i] / (self.luminosity * vol))
-            for k, g in zip(parts, gen[1:], strict=True):
-                rows[k].append(w * g / full[i] / (self.luminosity * vol))
+        points, step = self._points(), max(1, GROUP // (1 + len(parts)))
+        for at in range(0, len(points), step):  # a group of draws is one pass over each sample
+            group = points[at : at + step]
+            gens = binned_sums(self.generated, axes, [_fixed(m, p) for p in group for m in (model, *chosen)])[1:]
+            accs = binned_sums(self.term.accepted, axes, [_fixed(model, p) for p in group])[1:]
+            for k in range(len(group)):
+                gen = gens[k * (1 + len(parts)) : (k + 1) * (1 + len(parts))]
+                scale = w / full[at + k] / (self.luminosity * vol)
+                rows["__data"].append(ratio(data * gen[0], accs[k]) / (self.luminosity * vol))
+                rows["__model"].append(gen[0] * scale)
+                for name, g in zip(parts, gen[1:], strict=True):
+                    rows[name].append(g * scale)
         source = self.ensemble.source if self.ensemble else 0
         made = {k: BinnedEstimate(v[0], np.array(v[1:]), source) for k, v in rows.items()}
         return Differential(axes, made.pop("__data"), made.pop("__model"), made)

@@ -113,22 +113,32 @@ def _kernel_reduce(ds, root: Expr, grads: list[Expr], transform: str, values):
     return r[0], int(r[1]), np.array(r[2:])
 
 
+#: Parameter points whose sums one pass takes together.
+GROUP = 32
+
+
 def many(ds, expr: Expr, draws, names: Sequence[str], transform: str = REAL) -> np.ndarray:
-    """The sum at each row of `draws` (parameter values by `names`), in one job: the few draws are joined to the events
-    as a broadcast table, and one aggregate is keyed by draw."""
-    spark = ds.frame.sparkSession
-    rows = [(i, *map(float, d)) for i, d in enumerate(draws)]
-    cols = [f"__t{k}" for k in range(len(names))]
-    table = spark.createDataFrame(rows, "__draw int" + "".join(f", {c} double" for c in cols))
-    frame = ds.frame.crossJoin(F.broadcast(table))
-    low = Lowered(frame, [simplify(expr)], {n: F.col(c) for n, c in zip(names, cols, strict=True)})
-    x = low.pairs()[0].re
-    bad = F.isnan(x) | ~(x > 0)
-    body = F.log(F.when(bad, 1.0).otherwise(x)) if transform == LOG else x
-    got = low.frame.groupBy("__draw").agg(F.sum(ds.weight * body).alias("v"), F.sum(F.when(bad, 1).otherwise(0)).alias("bad")).collect()
-    out = np.zeros(len(rows))
-    for r in got:
-        if transform != REAL and r.bad:
-            raise NotPositive(f"{r.bad} events have an intensity that is not positive")
-        out[r["__draw"]] = r.v
+    """The sum at each row of `draws` (parameter values by `names`): points are columns of one pass over the events, GROUP
+    of them at a time, so that no event is repeated; what the points have in common is computed once."""
+    points = [expr.fix(**dict(zip(names, map(float, d), strict=True))) if len(names) else expr for d in draws]
+    out = np.zeros(len(points))
+    for at in range(0, len(points), GROUP):
+        group = points[at : at + GROUP]
+        try:
+            low = Lowered(ds.frame, [simplify(e) for e in group])
+        except NotLowerable:
+            out[at : at + GROUP] = [reduce(ds, e, transform)[0] for e in group]
+            continue
+        aggs = []
+        for k, p in enumerate(low.pairs()):
+            x = p.re
+            bad = F.isnan(x) | ~(x > 0)
+            body = F.log(F.when(bad, 1.0).otherwise(x)) if transform == LOG else x
+            aggs.append(F.coalesce(F.sum(ds.weight * body), F.lit(0.0)).alias(f"v{k}"))
+            if transform != REAL:
+                aggs.append(F.coalesce(F.sum(F.when(bad, 1).otherwise(0)), F.lit(0)).alias(f"bad{k}"))
+        r = low.frame.agg(*aggs).first().asDict()
+        if n_bad := sum(v for c, v in r.items() if c.startswith("bad")):
+            raise NotPositive(f"{n_bad} events have an intensity that is not positive")
+        out[at : at + GROUP] = [r[f"v{k}"] for k in range(len(group))]
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from ..dataset import Dataset
 from ..schema import EventSchema
+from .contract import SourceCapabilities, part
 
 
 class MemorySource:
@@ -19,15 +20,25 @@ class MemorySource:
     def load(self, spark: SparkSession) -> Dataset:
         return Dataset.from_arrays(spark, *self.args)
 
+    def fragment(self, spark: SparkSession, index: int, count: int) -> Dataset:
+        return part(self.load(spark), index, count)
+
+    def capabilities(self) -> SourceCapabilities:
+        return SourceCapabilities(known_length=True, fragments=True, projection=True)
+
 
 class BatchSource:
-    """A factory f() of batches {p4s, scalars, weights}, which may be called again."""
+    """A factory of batches {p4s, scalars, weights}, which may be called again: f(), read by one task, or f(rank, ranks),
+    called by as many tasks as there are ranks."""
 
-    def __init__(self, factory: Callable[[], Iterable[Mapping]], schema: EventSchema):
-        self.factory, self.schema = factory, schema
+    def __init__(self, factory: Callable[..., Iterable[Mapping]], schema: EventSchema, ranks: int = 1):
+        self.factory, self.schema, self.ranks = factory, schema, ranks
 
     def load(self, spark: SparkSession) -> Dataset:
-        return Dataset.from_batches(spark, self.factory, self.schema)
+        return Dataset.from_batches(spark, self.factory, self.schema, self.ranks)
+
+    def capabilities(self) -> SourceCapabilities:
+        return SourceCapabilities()
 
 
 class MemorySink:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import glob as globbing
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..dataset import ID, Dataset
 from ..schema import EventSchema, SchemaError
+from .contract import SourceCapabilities, part
 
 
 def resolve(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
@@ -27,6 +31,20 @@ def resolve(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, in local mode, a temporary one. It is
+    removed when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/brindle-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: EventSchema | None = None, columns: Sequence[str] | None = None, nulls: str = "error", validate: bool = True, rename: dict[str, str] | None = None, where: str | None = None, **infer) -> Dataset:
     """Events of Parquet files. Ids follow the files in name order, then the rows.
 
@@ -58,9 +76,9 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], schema: EventSc
         gone = F.lit(float("nan")) if nulls == "nan" else F.raise_error(F.lit(f"null in column {c}")).cast("double")
         cols.append(F.coalesce(x, gone).alias(c))
     file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    counts = sorted((r["f"], r["n"]) for r in source.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
-    if len(counts) <= 1:
+    if len(source.inputFiles()) <= 1:  # one file needs no counts
         return Dataset(frame.select(*cols, at.cast("long").alias(ID)), schema, dense=not where)
+    counts = sorted((r["f"], r["n"]) for r in source.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
     before, rows = 0, []
     for f, n in counts:
         rows.append((f, before))
@@ -79,6 +97,12 @@ class ParquetSource:
     def load(self, spark: SparkSession) -> Dataset:
         return read_parquet(spark, self.path, **self.options)
 
+    def fragment(self, spark: SparkSession, index: int, count: int) -> Dataset:
+        return part(self.load(spark), index, count)
+
+    def capabilities(self) -> SourceCapabilities:
+        return SourceCapabilities(known_length=not self.options.get("where"), fragments=True, projection=True)
+
 
 def write_parquet(ds: Dataset, path: str, precision: str = "f64", weight: str = "always", single: bool = False, mode: str = "error") -> None:
     """Columns in the canonical order, as doubles or floats. weight: `always` writes unit weights too, `if_present` not.

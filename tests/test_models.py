@@ -11,6 +11,7 @@ from brindle.operators.fit import bootstrap_fit, fit, fit_restarts, fit_stochast
 from brindle.operators.likelihood import NLL, CustomTerm, ExtendedNLL, LassoPenalty, Likelihood, Normalization, RidgePenalty, merge
 from brindle.plans.expr import Parameter, complex_, parameter, scalar
 from brindle.queries import ORACLE_SQL, QUERIES
+from brindle.queries_more import closure_generator
 
 X = scalar("x")
 
@@ -166,7 +167,7 @@ def test_unweighted_takes_the_first_accepted(spark):
 
 
 def test_t_exchange_and_adaptation(spark):
-    frame = QUERIES["generate_closure_channel"](spark, "").toPandas()
+    frame = closure_generator().weighted(spark, 8192, 3).frame.toPandas()
     for c in ("e", "px", "py", "pz"):
         assert (frame[f"beam_{c}"] + frame[f"target_{c}"]).to_numpy() == pytest.approx((frame[f"x_{c}"] + frame[f"recoil_{c}"]).to_numpy(), abs=1e-9)
         assert (frame[f"k1_{c}"] + frame[f"k2_{c}"]).to_numpy() == pytest.approx(frame[f"x_{c}"].to_numpy(), abs=1e-9)
@@ -187,7 +188,7 @@ def test_quantum_rules():
     # two identical spinless bosons couple with even L only
     same = qn.SelectionRules(qn.RuleSet.strong(), 4).allowed_partial_waves(p["rho0"], p["pi0"], p["pi0"])
     assert same == []
-    r = qn.RuleSet.strong().evaluate(p["phi"], p["K+"], p["K+"], 1, 0)
+    r = qn.RuleSet.strong().evaluate(p["phi"].patched(charge=0, strangeness=0), p["K+"], p["K+"], 1, 0)
     assert not r.is_allowed and {c.rule for c in r.failures()} >= {"charge", "strangeness"}
     unknown = qn.Particle(spin=0)
     assert qn.RuleSet.strong().evaluate(unknown, unknown, unknown, 0, 0).is_allowed
