@@ -6,13 +6,45 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from brindle.llm import simhash, toxicity
-from test_text_operators import WORD, base_spans, brute_fingerprint, removed
+from test_near_duplicates import groups
+from test_secret_parts import brute as secret_spans
+from test_text_operators import WORD, removed
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def without_repeats(rows):
+    """Texts without the words of repeated passages: a kept word keeps the white space before it."""
+    first = {}
+    words = {i: [m.span() for m in WORD.finditer(t)] for i, t in rows.items()}
+    for i, w in words.items():
+        for p in range(len(w) - 49):
+            g = tuple(rows[i][a:b] for a, b in w[p : p + 50])
+            first[g] = min(first.get(g, i), i)
+    out = {}
+    for i, w in words.items():
+        t, gone = rows[i], [False] * len(w)
+        for p in range(len(w) - 49):
+            if first[tuple(t[a:b] for a, b in w[p : p + 50])] < i:
+                gone[p : p + 50] = [True] * 50
+        ends = [0, *(b for _, b in w)]
+        if not w or not all(gone):
+            out[i] = "".join(t[ends[k] : b] for k, (_, b) in enumerate(w) if not gone[k]) + t[ends[-1] :]
+    return out
+
+
+def redacted(t):
+    """A mark for each stretch that spans cover; spans that touch are one stretch."""
+    out, at, open_ = [], 0, False
+    for a, _, b in secret_spans(t):
+        if not open_ or a > at:
+            out += [t[at:a], "[SECRET]"]
+        at, open_ = max(at, b), True
+    return "".join([*out, t[at:]])
+
+
 def brute(spark):
     """The stages one after another over Python lists."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -20,57 +52,52 @@ def brute(spark):
     model = toxicity.fit(*toxicity.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     match = toxicity.Matcher(model.weights)
     rows = {i: t for i, t in rows.items() if model.score(np.array([toxicity.features(t, match)]))[0] < 0.5}
-    fps = {i: brute_fingerprint(t) for i, t in sorted(rows.items())}
-    group = {i: i for i in fps}
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for a in fps:
-        for b in fps:
-            if b < a and (fps[a] ^ fps[b]).bit_count() <= 4:
-                x, y = find(a), find(b)
-                group[max(x, y)] = min(x, y)
-    rows = {i: t for i, t in rows.items() if find(i) == i}
+    least = groups(list(rows.items()))
+    rows = {i: t for i, t in rows.items() if least[i] == i}
+    removed_ = [x for x in removed(list(rows.items()), 50) if x[2]]
+    rows = without_repeats(rows)
+    assert removed_ and all(" ".join(WORD.findall(rows[i])) == kept for i, n, gone, kept in removed_ if gone < n)
     out = Counter()
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    for i, n, gone, _ in removed(list(rows.items()), 50):
-        if n and gone == n:
-            continue
-        if gone:
-            continue  # their white space is the operator's own; held against words elsewhere
-        t, spans = rows[i], base_spans(rows[i])
-        for a, _, b in reversed(spans):
-            if not any(x <= a and b <= y and (x, y) != (a, b) for x, _, y in spans):
-                t = t[:a] + "[SECRET]" + t[b:]
-        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+    for i, t in rows.items():
+        ids = np.array([*tok.encode(redacted(t), add_special_tokens=False).ids, 1], "<u4")
         for a in range(0, len(ids), 2048):
             part = ids[a : a + 2048]
             out[i, a, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
-    whole = {i for i, n, gone, _ in removed(list(rows.items()), 50) if not gone}
-    left = {i for i, n, gone, _ in removed(list(rows.items()), 50) if not n or gone < n}
-    return out, whole, left
+    return out
 
 
 def test_run_matches_brute_force(spark):
-    want, whole, left = brute(spark)
+    want = brute(spark)
     rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} == left
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id in whole) == want
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
 
 
-def test_stages_keep_the_columns(spark, corpus):
-    docs = corpus.where("doc_id is not null")
+def test_stages_keep_the_columns_and_odd_rows(spark, corpus):
+    docs = corpus.union(spark.createDataFrame([(None, "found nowhere else", "en", "s", 18), (None, "nor is this one", "en", "s", 15), (8, "another text of id eight", "en", "s", 24)], corpus.schema))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == COLUMNS
-    rows = {r.doc_id: r for r in docs.collect()}
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == COLUMNS and docs.dtypes == corpus.dtypes
+    found = docs.collect()
     # copies and near copies are gone, odd rows stay
+    assert Counter(r.text for r in found if r.doc_id is None) == Counter(["found nowhere else", "nor is this one"])
+    assert sorted(r.text or "" for r in found if r.doc_id == 8) == ["", "another text of id eight"]
+    rows = {r.doc_id: r for r in found}
     assert 1 in rows and 5 not in rows and {8, 11, 13, 14} <= set(rows)
-    assert all(r.n_chars == len(r.text or "") for r in rows.values() if r.text is not None)
+    assert all(r.n_chars == len(r.text or "") for r in found if r.text is not None)
     assert len(rows[1].text.split()) == 120
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("start = 0").count() == len(found)
+
+
+def test_stages_of_an_empty_table(spark, corpus):
+    docs = corpus.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
 
 
 def test_secrets_are_gone_after_the_stage(spark):

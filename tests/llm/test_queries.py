@@ -6,7 +6,7 @@ import zlib
 
 import public_tokenizers
 import pytest
-from brindle.llm import mpeg, queries
+from brindle.llm import mpeg, quality, queries
 from test_text_operators import BYTE_BPE, base_spans, brute_fingerprint, counts, key, removed
 
 SF = "/root/testdata/sf0.001"
@@ -186,3 +186,68 @@ def test_contract_columns(spark):
         frame = queries.QUERIES[name](spark, SF)
         assert ", ".join(f"{a} {b}" for a, b in frame.dtypes) == want
     assert re.match("op6_", next(n for n in queries.QUERIES if n.startswith("op6_")))
+
+
+def features_by_hand(t):
+    """What the rules look at, in plain Python."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n_words, word_chars, n_symbols, n_dup, n_repeat = counts(t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    upper = len(re.findall("[A-Z]", t))
+    letters = upper + len(re.findall("[a-z]", t)) + sum(len(c.encode()) > 1 and c.encode()[0] >= 0xC3 for c in t)
+    stops = sum(x.encode().lower() in quality.STOPS for x in w)
+    return n_words, word_chars, n_symbols, n_dup, n_repeat, len(lines), upper, letters, sum(len(x.encode()) > 25 for x in w), stops
+
+
+def votes_by_hand(f):
+    words, chars, symbols, dup, repeat, lines, upper, letters, long_, stops = f
+    n, mean = max(words, 1), chars / max(words, 1)
+    return (
+        -1 if symbols / n > 0.12 else 0,
+        -1 if upper / max(letters, 1) > 0.5 and letters >= 40 else 0,
+        -1 if repeat / n > 0.12 else 0,
+        -1 if dup >= 3 and dup / max(lines, 1) > 0.3 else 0,
+        -1 if words < 10 else 0,
+        -1 if mean < 2.5 or mean > 14 else 1 if 3.5 <= mean <= 10 else 0,
+        -1 if long_ / n > 0.05 else 0,
+        -1 if stops / n < 0.02 and words >= 30 else 1 if stops / n > 0.15 else 0,
+    )
+
+
+def posterior_by_hand(votes):
+    """Expectation-maximisation over single texts."""
+    import math
+
+    n = len(votes)
+    p = [(sum(x == 1 for x in v) + 2.0) / (sum(x == 1 for x in v) + 4.0 * sum(x == -1 for x in v) + 2.5) for v in votes]
+    smooth = [[4.0, 2.0, 1.0], [0.5, 2.0, 4.0]]
+    scale = max(20.0, n / 50)
+    for _ in range(200):
+        prior = min(0.98, max(0.02, sum(p) / n))
+        rates = []
+        for k in range(len(votes[0])):
+            cell = [[sum((q if c else 1 - q) for v, q in zip(votes, p, strict=True) if v[k] == x - 1) / n + smooth[c][x] / scale for x in range(3)] for c in range(2)]
+            rates.append([[y / sum(row) for y in row] for row in cell])
+        new = []
+        for v in votes:
+            good = math.log(prior) + sum(math.log(rates[k][1][x + 1]) for k, x in enumerate(v))
+            bad = math.log(1 - prior) + sum(math.log(rates[k][0][x + 1]) for k, x in enumerate(v))
+            new.append(1 / (1 + math.exp(bad - good)))
+        done = max(abs(a - b) for a, b in zip(new, p, strict=True)) < 1e-7
+        p = new
+        if done:
+            break
+    return p
+
+
+def test_op3_verdicts(spark, rows):
+    features = [features_by_hand(t) for _, t in rows]
+    good = posterior_by_hand([votes_by_hand(f) for f in features])
+    want = {i: (f[0] < 10 or 100 * f[4] > 20 * f[0], q) for (i, _), f, q in zip(rows, features, good, strict=True)}
+    found = queries.op3_quality(spark, SF).collect()
+    assert len(found) == len(want) == len(rows)
+    for r in found:
+        failed, q = want[r.doc_id]
+        assert r.base_failed == failed and r.quality == pytest.approx(q, abs=1e-5)
+        assert r.kept == (not failed and q >= 0.5) or abs(q - 0.5) < 1e-5
+    assert {r.kept for r in found} == {True, False}
