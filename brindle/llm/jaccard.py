@@ -18,6 +18,8 @@ SHINGLE = 5
 SHARE = (4, 5)
 #: Bands of MinHash values and values of a band: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
+#: Bands that a pair of different components has to share; at similarity 0.8 it shares fewer with probability 1.1e-6.
+SHARED = 2
 #: Shingles hashed by all functions at once.
 BLOCK = 2048
 
@@ -152,11 +154,11 @@ def similar(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, row_a, row_b, component: rows are in one component if links of SHARE or more join them.
 
     Equal shingle sets are one node before anything is compared; texts without words are one. What SimHash fingerprints
-    link within a few bits is proposed first, and each node with the least one of every MinHash slot it is in: at a
-    similarity of 0.8 fingerprints differ in about ten bits, beyond any ball that can be enumerated, so the slots have to
-    propose the rest. Then, across the components that makes, all pairs of a slot but those within its largest
-    component, where another link changes nothing. Every link is verified on whole shingle sets, those texts aside that
-    cannot link (`weighed`). Each repeated row keeps its row; a null doc_id takes part; an empty table gives none. The
+    link within a few bits is proposed first, and each node with the best connected one of every MinHash slot it is in: at
+    a similarity of 0.8 fingerprints differ in about ten bits, beyond any ball that can be enumerated, so the slots have
+    to propose the rest. Then, across the components that makes, the pairs of a slot but those within its largest
+    component, where another link changes nothing: each pair once, in the first slot that it shares, if it shares more
+    than one. Every link is verified on whole shingle sets, those texts aside that cannot link (`weighed`). Each repeated row keeps its row; a null doc_id takes part; an empty table gives none. The
     result is a table of its own, and all others are gone.
     """
     rows = durable(sketches(docs), "sketches")
@@ -178,8 +180,13 @@ def similar(docs: DataFrame) -> DataFrame:
 
     live, before = durable(live.join(weights, "node").select("key", "node", "m", "p"), "live"), live
     drop(before)
-    hubs = durable(live.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub"), "hubs")
-    stars = live.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    live, before = durable(live.join(sizes, "key"), "live"), live
+    drop(before)
+    scores = live.groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = live.join(scores, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
+    hubs = durable(hubs, "hubs")
+    stars = live.join(hubs, "key").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     proposed = _simhash_pairs(nodes)
     pairs = durable(stars.union(proposed).distinct(), "pairs")
     found = durable(verified(pairs, sets, weights), "verified")
@@ -190,16 +197,23 @@ def similar(docs: DataFrame) -> DataFrame:
     counted = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     split = counted.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
     split = durable(split, "split")
-    rest = durable(named.join(split, "key").where("c <> main").select("key", "node", "c", "m", "p"), "rest")
-    every = named.join(split, "key").select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("m").alias("l"), F.col("p").alias("q"), (F.col("c") == F.col("main")).alias("is_main"))
+    named, before = durable(named.join(split, "key"), "named"), named
+    drop(before)
+    held = nodes.join(named.select("node").distinct(), "node", "left_semi").select("node", "keys").dropDuplicates(["node"])
+    held = durable(held, "held")
+    rest = named.where("c <> main").join(held, "node").select("key", F.col("node").alias("a"), "c", "m", "p", F.col("keys").alias("x"))
+    rest = durable(rest, "rest")
+    is_main = (F.col("c") == F.col("main")).alias("is_main")
+    every = named.join(held, "node").select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("m").alias("l"), F.col("p").alias("q"), is_main, F.col("keys").alias("y"))
     every = durable(every, "every")
-    across = rest.withColumnRenamed("node", "a").join(every, "key").where((F.col("c") != F.col("d")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _may_link())
+    once = (F.array_min(F.array_intersect("x", "y")) == F.col("key")) & (F.size(F.array_intersect("x", "y")) >= SHARED)
+    across = rest.join(every, "key").where((F.col("c") != F.col("d")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _may_link() & once)
     across = durable(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     more = durable(verified(across, sets, weights), "verified")
     groups = connected_components(found.union(more)).toDF("member", "c")
     out = rows.join(groups, rows["node"] == groups["member"], "left")
     out = durable(out.select("doc_id", "row_a", "row_b", F.coalesce("c", "node").alias("component")), "components")
-    for t in (rows, live, sets, weights, hubs, proposed, pairs, found, named, split, rest, every, across, more, groups):
+    for t in (rows, live, sets, weights, hubs, proposed, pairs, found, named, split, held, rest, every, across, more, groups):
         drop(t)
     return out
 
