@@ -88,7 +88,7 @@ def fold(text: str) -> str:
     return f" {text} "
 
 
-def grams(word: str, low: int = 6, high: int = 10) -> set[str]:
+def grams(word: str, low: int = 4, high: int = 10) -> set[str]:
     """The terms that a word may teach: itself with the spaces beside it, and its beginnings of `low` to `high` letters
     with the space before it. No term starts inside a word, so that "closer" is no "loser"."""
     out = {f" {word} "} if len(word) <= 24 else set()
