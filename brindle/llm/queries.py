@@ -66,6 +66,26 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+# doc_ids are taken to differ
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), p AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS passage FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)
+), f AS (
+  SELECT passage, min(doc_id) AS first FROM p GROUP BY passage
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM p JOIN f USING (passage) WHERE first < doc_id
+), k AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.k) AS kept, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w) e LEFT JOIN c ON c.doc_id = e.doc_id AND c.k = e.k
+  WHERE c.k IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -141,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
