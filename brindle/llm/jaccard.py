@@ -201,7 +201,13 @@ def similar(docs: DataFrame) -> DataFrame:
     drop(before)
     held = nodes.join(named.select("node").distinct(), "node", "left_semi").select("node", "keys").dropDuplicates(["node"])
     held = durable(held, "held")
-    rest = named.where("c <> main").join(held, "node").select("key", F.col("node").alias("a"), "c", "m", "p", F.col("keys").alias("x"))
+    # a shingle that no other component holds counts against every pair that is left, as lone shingles do in `weighed`
+    spread = sets.join(named.select("node", "c").distinct(), "node").select("c", F.explode("found").alias("s"))
+    spread = spread.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
+    loose = sets.join(named.where("c <> main").select("node").distinct(), "node", "left_semi").select("node", F.explode("found").alias("s"))
+    shared = durable(loose.join(spread, "s").groupBy("node").agg(F.count(F.lit(1)).alias("o")), "shared")
+    rest = named.where("c <> main").join(shared, "node").join(held, "node")
+    rest = rest.select("key", F.col("node").alias("a"), "c", "m", F.least("p", "o").alias("p"), F.col("keys").alias("x"))
     rest = durable(rest, "rest")
     is_main = (F.col("c") == F.col("main")).alias("is_main")
     every = named.join(held, "node").select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("m").alias("l"), F.col("p").alias("q"), is_main, F.col("keys").alias("y"))
@@ -213,7 +219,7 @@ def similar(docs: DataFrame) -> DataFrame:
     groups = connected_components(found.union(more)).toDF("member", "c")
     out = rows.join(groups, rows["node"] == groups["member"], "left")
     out = durable(out.select("doc_id", "row_a", "row_b", F.coalesce("c", "node").alias("component")), "components")
-    for t in (rows, live, sets, weights, hubs, proposed, pairs, found, named, split, held, rest, every, across, more, groups):
+    for t in (rows, live, sets, weights, hubs, proposed, pairs, found, named, split, held, shared, rest, every, across, more, groups):
         drop(t)
     return out
 
