@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +21,8 @@ CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer single row is a batch of its own.
 BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Seconds between two times that a Python worker gives memory back while it makes batches.
+GIVE_BACK_S = 0.2
 
 #: The characters that part words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -66,11 +70,31 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow over batches of bounded size, so that a Python worker's memory does not follow the rows' length.
 
-    The bound is a setting of the session, as Spark has no other; one that was set before stays.
+    The bound is a setting of the session, as Spark has no other; one that was set before stays. Workers outlive their
+    tasks, so what a batch needed goes back to the system after it, not to the next stage's cost.
     """
     if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(BATCH_SETTING, f"{BATCH_BYTES >> 20}m")
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        last = time.monotonic()
+        for b in f(batches):
+            yield b
+            del b
+            if time.monotonic() - last > GIVE_BACK_S:
+                give_back()
+                last = time.monotonic()
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory, which Arrow and the C library keep for themselves, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def drop(df: DataFrame) -> None:
@@ -155,7 +179,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
+    out = np.repeat(starts - before, lengths)
+    out += np.arange(total, dtype=np.int64)
+    return out
 
 
 def binary_rows(data: np.ndarray, off: np.ndarray) -> pa.Array:

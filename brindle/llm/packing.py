@@ -18,8 +18,9 @@ from .common import CHUNK_BYTES, Words, arrow_map, binary_rows, pick, ragged, te
 SEQ_LEN = 2048
 #: UTF-8 bytes of text per randomised group: about a thousand sequences, so that a last, part-filled bin weighs little.
 GROUP_BYTES = 8 << 20
-#: Different words whose ids a Python worker keeps.
+#: Different words whose ids a Python worker keeps, and bytes of them and their ids: texts without spaces have long words.
 KEPT_WORDS = 500_000
+KEPT_BYTES = 32 << 20
 #: Marks after a word that form a token of their own beside its letters.
 TAIL = b".,!?;:"
 #: Parts words that are encoded in one call; the words themselves are free of "<|".
@@ -63,6 +64,7 @@ class WordTokenizer:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)  # of each known word's ids in flat
         self.count = 1
+        self.word_bytes = 0
 
     def _learn(self, words: list[bytes]):
         """Encodes words, many to a call. A word of letters is one match, whose last id alone ends a word: their ends
@@ -77,6 +79,7 @@ class WordTokenizer:
                 encode([texts[k] for k in own[at : at + 20_000]])
             kept += [words[k] for k in own]
         self.known.update(zip(kept, range(first, first + len(kept)), strict=True))
+        self.word_bytes += sum(map(len, kept))
 
     def _simple(self, part: list[str]):
         chunks = [part[k : k + 200] for k in range(0, len(part), 200)]
@@ -117,7 +120,7 @@ class WordTokenizer:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different words one after another, and the number of ids of each."""
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or self.word_bytes + 4 * int(self.ends[self.count - 1]) > KEPT_BYTES:
             self.clear()
         parts = [x for w in words for x in _split(w)]
         new = list({x: None for x in parts if x not in self.known})
@@ -141,13 +144,17 @@ def tokens_of(col: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray,
     """The ids of all texts one after another, each closed by end_id, and the offsets (n + 1) of the texts in them."""
     w = Words(col)
     codes, different = w.coded()
+    doc = w.doc
+    del w
     flat, size = tokenizer(path).encode(different)
+    del different
     first = np.cumsum(size) - size
     n = size[codes] if len(codes) else np.zeros(0, np.int64)
     body = flat[ragged(first[codes], n)] if len(codes) else flat
     before = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=before[1:])
-    off = before[w.doc]
+    off = before[doc]
+    del codes, flat, n, before
     if end_id is None:
         return body, off
     return np.insert(body, off[1:], np.uint32(end_id)), off + np.arange(len(off))
