@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CHUNK_BYTES, Words, arrow_map, binary_rows, pick, ragged, text_slices
+from .common import Words, arrow_map, binary_rows, pick, ragged, text_slices
 
 #: Tokens of a sequence.
 SEQ_LEN = 2048
@@ -168,7 +168,7 @@ def pieces(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, end_id: int = 1)
     """
 
     def run(batches):
-        for b in text_slices(batches, limit=2 * CHUNK_BYTES):
+        for b in text_slices(batches):
             ids, off = tokens_of(b.column(1), path, end_id)
             total = np.diff(off)
             n = -(-total // seq_len)
