@@ -20,6 +20,8 @@ SHARE = (4, 5)
 BANDS, ROWS = 32, 4
 #: Bands that a pair of different components has to share; at similarity 0.8 it shares fewer with probability 1.1e-6.
 SHARED = 2
+#: 64-bit words of a set's parity bits, a power of two.
+PARITY = 4
 #: Shingles hashed by all functions at once.
 BLOCK = 2048
 
@@ -64,6 +66,13 @@ def bands(found: np.ndarray) -> np.ndarray:
     return _fold(np.stack([np.arange(BANDS, dtype=np.uint64), *least.reshape(BANDS, ROWS).T]))
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls into each of 64 * PARITY bins, as bits: two sets differ in at least
+    as many hashes as these bits do."""
+    count = np.bincount((found >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _list(parts: list[np.ndarray]) -> pa.Array:
     off = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
@@ -93,13 +102,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """docs (node, text) -> node, found: the different shingles' hashes."""
+    """docs (node, text) -> node, found (the different shingles' hashes), odd (their parity bits)."""
 
     def run(batches):
         for b in text_slices(batches, limit=CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([b.column(0), _list([shingles(t) for t in b.column(1).to_pylist()])], names=["node", "found"])
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _list(sets), _list([parity(s) for s in sets])], names=["node", "found", "odd"])
 
-    return arrow_map(docs, run, "node long, found array<long>")
+    return arrow_map(docs, run, "node long, found array<long>, odd array<long>")
 
 
 def _some(rows: DataFrame, key: Column, wanted: DataFrame, by: str) -> DataFrame:
@@ -116,6 +126,14 @@ def _may_link() -> Column:
     return most * all_ >= (F.col("m") + F.col("l") - most) * one
 
 
+def _near(u: str, v: str) -> Column:
+    """Whether sets of m and l shingles with parity bits u and v can be SHARE similar: exact, as the bits never differ in
+    more places than the sets."""
+    one, all_ = SHARE
+    differ = sum((F.bit_count(F.col(u)[k].bitwiseXOR(F.col(v)[k])) for k in range(PARITY)), F.lit(0))
+    return differ * (all_ + one) <= (F.col("m") + F.col("l")) * (all_ - one)
+
+
 def weighed(sets: DataFrame) -> DataFrame:
     """sets (node, found) -> node, m (shingles), p (those found in other sets too), of nodes that can link to another.
 
@@ -133,7 +151,8 @@ def verified(pairs: DataFrame, sets: DataFrame, weights: DataFrame) -> DataFrame
     """pairs (a, b) of different nodes -> those whose Jaccard similarity is SHARE or more, in whole numbers."""
     one, all_ = SHARE
     held = pairs.join(weights.toDF("a", "m", "p"), "a").join(weights.toDF("b", "l", "q"), "b").where(_may_link())
-    both = held.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    found = sets.select("node", "found")
+    both = held.join(found.toDF("b", "y"), "b").join(found.toDF("a", "x"), "a")
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return both.where(same * all_ >= (F.col("m") + F.col("l") - same) * one).select("a", "b")
 
@@ -158,8 +177,9 @@ def similar(docs: DataFrame) -> DataFrame:
     a similarity of 0.8 fingerprints differ in about ten bits, beyond any ball that can be enumerated, so the slots have
     to propose the rest. Then, across the components that makes, the pairs of a slot but those within its largest
     component, where another link changes nothing: each pair once, in the first slot that it shares, if it shares more
-    than one. Every link is verified on whole shingle sets, those texts aside that cannot link (`weighed`). Each repeated row keeps its row; a null doc_id takes part; an empty table gives none. The
-    result is a table of its own, and all others are gone.
+    than one and its parity bits allow a link. Every link is verified on whole shingle sets, those texts aside that cannot link
+    (`weighed`). Each repeated row keeps its row; a null doc_id takes part; an empty table gives none. The result is a
+    table of its own, and all others are gone.
     """
     rows = durable(sketches(docs), "sketches")
     nodes = rows.where(F.size("keys") > 0)
@@ -200,20 +220,20 @@ def similar(docs: DataFrame) -> DataFrame:
     named, before = durable(named.join(split, "key"), "named"), named
     drop(before)
     held = nodes.join(named.select("node").distinct(), "node", "left_semi").select("node", "keys").dropDuplicates(["node"])
-    held = durable(held, "held")
+    held = durable(held.join(sets.select("node", "odd"), "node"), "held")
     # a shingle that no other component holds counts against every pair that is left, as lone shingles do in `weighed`
     spread = sets.join(named.select("node", "c").distinct(), "node").select("c", F.explode("found").alias("s"))
     spread = spread.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s")
     loose = sets.join(named.where("c <> main").select("node").distinct(), "node", "left_semi").select("node", F.explode("found").alias("s"))
     shared = durable(loose.join(spread, "s").groupBy("node").agg(F.count(F.lit(1)).alias("o")), "shared")
     rest = named.where("c <> main").join(shared, "node").join(held, "node")
-    rest = rest.select("key", F.col("node").alias("a"), "c", "m", F.least("p", "o").alias("p"), F.col("keys").alias("x"))
+    rest = rest.select("key", F.col("node").alias("a"), "c", "m", F.least("p", "o").alias("p"), F.col("keys").alias("x"), F.col("odd").alias("u"))
     rest = durable(rest, "rest")
     is_main = (F.col("c") == F.col("main")).alias("is_main")
-    every = named.join(held, "node").select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("m").alias("l"), F.col("p").alias("q"), is_main, F.col("keys").alias("y"))
+    every = named.join(held, "node").select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("m").alias("l"), F.col("p").alias("q"), is_main, F.col("keys").alias("y"), F.col("odd").alias("v"))
     every = durable(every, "every")
     once = (F.array_min(F.array_intersect("x", "y")) == F.col("key")) & (F.size(F.array_intersect("x", "y")) >= SHARED)
-    across = rest.join(every, "key").where((F.col("c") != F.col("d")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _may_link() & once)
+    across = rest.join(every, "key").where((F.col("c") != F.col("d")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & _may_link() & _near("u", "v") & once)
     across = durable(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     more = durable(verified(across, sets, weights), "verified")
     groups = connected_components(found.union(more)).toDF("member", "c")

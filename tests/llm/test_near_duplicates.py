@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from brindle.llm import jaccard
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,3 +112,21 @@ def test_odd_tables(spark, corpus):
     rows = got.collect()
     assert {(r.slot, r.block, r.stays, r["a.b"], r.row_a) for r in rows} == {(1, 2, 3, 4, 5)}
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in jaccard.deduplicated(corpus).collect())
+
+
+def test_parity_bits_never_rule_out_a_link(spark):
+    """They differ in no more places than the sets, and most pairs that are not alike enough go by them."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for k in range(400):
+        n, d = int(rng.integers(1, 400)), int(rng.integers(0, 120))
+        h = rng.integers(0, 2**64, n + d, np.uint64)
+        cut = int(rng.integers(0, d + 1))
+        pairs.append((np.unique(h[: n + cut]), np.unique(np.concatenate([h[:n], h[n + cut :]]))))
+    rows = [(k, len(a), len(b), jaccard.parity(a).view(np.int64).tolist(), jaccard.parity(b).view(np.int64).tolist()) for k, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "k long, m long, l long, u array<long>, v array<long>")
+    near = {r.k for r in frame.where(jaccard._near("u", "v")).collect()}
+    alike = {k for k, (a, b) in enumerate(pairs) if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
+    assert alike <= near and len(alike) > 50
+    loose = {k for k, (a, b) in enumerate(pairs) if 10 * len(np.intersect1d(a, b)) < 7 * len(np.union1d(a, b))}
+    assert len(loose) > 50 and len(loose & near) < len(loose) / 4
