@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -23,6 +24,8 @@ KEPT_WORDS = 500_000
 KEPT_BYTES = 32 << 20
 #: Marks after a word that form a token of their own beside its letters.
 TAIL = b".,!?;:"
+IS_TAIL = np.isin(np.arange(256), list(TAIL))
+IS_ALNUM = np.array([bytes([x]).isalnum() for x in range(256)])
 #: Parts words that are encoded in one call; the words themselves are free of "<|".
 MARK, MARK_ID = "<|startoftext|>", 49406
 
@@ -32,20 +35,46 @@ def _letter(core: bytes) -> bool:
     return unicodedata.category(unicodedata.normalize("NFC", core.decode()).lower()[-1])[0] == "L"
 
 
-def _split(word: bytes) -> tuple[bytes, bytes]:
-    """A word's core and the marks at its end, where both are sure to be tokenised apart; A-Z lower-cased, but not
-    where the word may hold a special token."""
-    if b"<|" in word:
-        return word, b""
-    core = word.rstrip(TAIL)
-    if len(core) == len(word) or not core or not (core[-1:].isalnum() or core[-1] > 127 and _letter(core)):
-        return word.lower(), b""
-    return core.lower(), word[len(core) :]
+def parts(w: Words) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words' parts, and the number of parts before each text (n + 1): a word's core and the marks at its end, where
+    both are sure to be tokenised apart, else the word. A-Z lower-cased, but not where the word may hold a special token."""
+    data, n = w.data[w.ink], len(w)
+    off = np.zeros(n + 1, np.int64)
+    np.cumsum(w.end - w.start, out=off[1:])
+    at = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    word = np.searchsorted(off, at, "right") - 1
+    special = np.unique(word[at + 1 < off[word + 1]])
+    upper = (data >= ord("A")) & (data <= ord("Z"))
+    upper[ragged(off[special], off[special + 1] - off[special])] = False
+    data[upper] |= 0x20
+    del upper
+    mark = IS_TAIL[data]
+    run = mark.copy()  # the first mark of each run of marks within a word
+    run[1:] &= ~mark[:-1]
+    run[off[:-1]] |= mark[off[:-1]]
+    runs = np.flatnonzero(run)
+    tailed = mark[off[1:] - 1]
+    tailed[special] = False
+    del mark, run
+    tailed = np.flatnonzero(tailed)
+    cut = runs[np.searchsorted(runs, off[tailed + 1] - 1, "right") - 1]
+    tailed, cut = tailed[cut > off[tailed]], cut[cut > off[tailed]]
+    final = data[cut - 1]
+    sure = IS_ALNUM[final]
+    known: dict[bytes, bool] = {}
+    for k in np.flatnonzero(final > 127):
+        core = data[off[tailed[k]] : cut[k]].tobytes()
+        if core not in known:
+            known[core] = _letter(core)
+        sure[k] = known[core]
+    tailed, cut = tailed[sure], cut[sure]
+    ends = np.append(0, np.insert(off[1:], tailed, cut)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]), w.doc + np.searchsorted(tailed, w.doc)
 
 
 class WordTokenizer:
     """A tokenizer of the `tokenizers` library that lower-cases and whose matches never hold white space, nor letters
-    and marks: each word's core and tail stand alone, are encoded once, and are kept in one flat array.
+    and marks: each word's core and tail stand alone (`parts`), are encoded once, and are kept in one flat array.
 
     A special token's name in a text becomes that token, as the library has it unless told otherwise. Such names are
     case-sensitive and never hold white space: a word with "<|" goes to the library by itself and as it is.
@@ -119,17 +148,18 @@ class WordTokenizer:
         self.count += len(ends)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different words one after another, and the number of ids of each."""
+        """The ids of different words, or parts of them, one after another, and the number of ids of each."""
         if len(self.known) > KEPT_WORDS or self.word_bytes + 4 * int(self.ends[self.count - 1]) > KEPT_BYTES:
             self.clear()
-        parts = [x for w in words for x in _split(w)]
-        new = list({x: None for x in parts if x not in self.known})
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        number = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            own = [words[k] for k in new]
+            self._learn(list(dict.fromkeys(own)))
+            number[new] = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
         first = np.where(number > 0, self.ends[number - 1], 0)
         n = self.ends[number] - first
-        return self.flat[ragged(first, n)], n.reshape(-1, 2).sum(axis=1)
+        return self.flat[ragged(first, n)], n
 
 
 @functools.lru_cache(2)
@@ -142,12 +172,12 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def tokens_of(col: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts one after another, each closed by end_id, and the offsets (n + 1) of the texts in them."""
-    w = Words(col)
-    codes, different = w.coded()
-    doc = w.doc
-    del w
-    flat, size = tokenizer(path).encode(different)
-    del different
+    own, doc = parts(Words(col))
+    d = own.dictionary_encode()
+    del own
+    codes = d.indices.to_numpy(zero_copy_only=False)
+    flat, size = tokenizer(path).encode(d.dictionary.to_numpy(zero_copy_only=False).tolist())
+    del d
     first = np.cumsum(size) - size
     n = size[codes] if len(codes) else np.zeros(0, np.int64)
     body = flat[ragged(first[codes], n)] if len(codes) else flat

@@ -70,6 +70,27 @@ def test_special_tokens_are_the_librarys(spark):
     assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)} and got[0] == [343, 49407, 344, 1]
 
 
+def test_packing_looks_up_each_core_once(monkeypatch):
+    """Neither A-Z nor marks at a word's end make another word for a worker to look up, and the ids stay the library's."""
+    import random
+
+    import pyarrow as pa
+
+    seen, encode = [], packing.WordTokenizer.encode
+    monkeypatch.setattr(packing.WordTokenizer, "encode", lambda self, words: [seen.append(list(words)), encode(self, words)][1])
+    cores, tails = [f"{a}{b}" for a in "nopqrst" for b in ("one", "wo", "\u00e9")], ["", ".", ",", "!!"]
+    words = [f(c) + t for c in cores for t in tails for f in (lambda x: x, lambda x: x[0].upper() + x[1:])]
+    packing.tokens_of(pa.array([" ".join(words), " ".join(reversed(words))]), WORD_BPE, 1)
+    assert sorted(seen[0]) == sorted(x.encode() for x in [*cores, *tails[1:]])
+    odd = ["a", "B", "\u00c9", "e\u0301", "\u0345", "\u00df", "\u0130", "\u03a3", "\u03c2", "\u65e5", "\ufb01", "9", "\u00b2", "\u0903", *".,!?;:", "<|", "<", "|", "|>", "<|endoftext|>", "'S", "'", "\0", "\x1c", "\xa0", "-", *" \n\x0b  "]
+    rnd = random.Random(5)
+    rows = ["", " ", *("".join(rnd.choices(odd, k=rnd.randrange(25))) for _ in range(3000)), "x<", "|y."]
+    ids, off = packing.tokens_of(pa.array(rows), WORD_BPE, 1)
+    tok = packing.tokenizer(WORD_BPE).tok
+    for k, t in enumerate(rows):
+        assert ids[off[k] : off[k + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def test_null_and_repeated_rows_spread_over_all_groups(spark):
     none = spark.range(60_000, numPartitions=6).selectExpr("cast(if(id % 2 = 0, null, 7) as long) as doc_id", "0L as start", "100L as length", "'x' as pack_group", "9 as sequence_id")
     rows = packing.pack(none, 64 * packing.GROUP_BYTES, 60_000).collect()
