@@ -359,6 +359,23 @@ def test_shards_hold_every_token(spark, corpus, docs):
     assert training_order.materialise(corpus.limit(0), WORD_BPE, 7)[0].count() == 0
 
 
+def test_sequences_look_up_each_core_once(monkeypatch):
+    """Texts laid end to end: A-Z and marks at words' ends give a worker no more words, and no other ids."""
+    import pyarrow as pa
+
+    seen, encode = [], packing.WordTokenizer.encode
+    monkeypatch.setattr(packing.WordTokenizer, "encode", lambda self, words: [seen.append(list(words)), encode(self, words)][1])
+    monkeypatch.setattr(training_order, "pick", lambda frame: frame)
+    monkeypatch.setattr(training_order, "arrow_map", lambda frame, f, schema: f)
+    rows = ["One two, TWO. one; Two!", "", "two? one TWO, \u00c9t\u00e9, \u00e9t\u00e9.", "three..."] * 3
+    run = training_order.sequences(None, WORD_BPE, seq_len=16)
+    out = pa.Table.from_batches(run(iter([pa.record_batch({"doc_id": list(range(len(rows))), "text": rows})]))).to_pylist()
+    assert sorted(seen[0]) == sorted(x.encode() for x in ["one", "two", "\u00c9t\u00e9", "\u00e9t\u00e9", "three", ",", ".", ";", "!", "?", "..."])
+    tok = packing.tokenizer(WORD_BPE).tok
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]] for r in out])
+    assert ids.tolist() == [v for t in rows for v in [*tok.encode(t, add_special_tokens=False).ids, 1]]
+
+
 def test_shards_of_another_run_are_never_taken(spark, docs, tmp_path):
     import os
 
