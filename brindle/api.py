@@ -9,6 +9,7 @@ from .functions.vectors import RealVec3, RealVec4, Vec3, Vec4
 from .model import Model
 from .operators.binning import Bins
 from .operators.cross_section import Axis, BinnedEstimate, CrossSection, Differential, Ensemble, Estimate, combine, combined_total
+from .operators.draws import ColumnEstimate, FrameEnsemble
 from .operators.fit import FitResult, bootstrap_fit, fit, fit_restarts, fit_stochastic, sample, walker_positions
 from .operators.generate import Generator, InitialMomentum, MassProposal, ScalarSource, VertexProposal
 from .operators.histogram import Histogram

@@ -15,7 +15,8 @@ from .functions.channel import Channel, Edge, Vertex
 from .functions.vectors import RealVec3, RealVec4, Vec3, Vec4
 from .operators import generate as gen
 from .operators.binning import Bins
-from .operators.cross_section import Axis, BinnedEstimate, CrossSection, Ensemble, Estimate, combined_total
+from .operators.cross_section import Axis, CrossSection, Ensemble, combined_total
+from .operators.draws import FrameEnsemble
 from .operators.fit import bootstrap_fit, fit, fit_restarts
 from .operators.histogram import Histogram
 from .operators.likelihood import NLL, CustomTerm, ExtendedNLL, Likelihood, Projection
@@ -613,23 +614,28 @@ def pooled_total(spark, sf_dir):
 _CHAIN = "SELECT event_id // 40 AS step, event_id // 2 % 20 AS walker, event_id % 2 AS p, value FROM events WHERE event_id < (SELECT count(*) FROM events) // 40 * 40"
 
 
+def _chain(spark, sf_dir):
+    """Events as the steps of 20 walkers with two parameters; the events of a step that is not complete are left out."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = events.where(F.col("event_id") < events.count() // 40 * 40).select(F.expr("event_id div 40").alias("step"), F.expr("event_id div 2 % 20").alias("walker"), F.expr("event_id % 2").alias("p"), "value")
+    x, y = (at.where(F.col("p") == k).select("step", "walker", F.col("value").alias(n)) for k, n in enumerate("xy"))
+    return x.join(y, ["step", "walker"])
+
+
 @query(f"""WITH c AS ({_CHAIN}), k AS (SELECT * FROM c WHERE step >= 10 AND (step - 10) % 3 = 0), d AS (SELECT a.value AS x, b.value AS y FROM k a JOIN k b USING (step, walker) WHERE a.p = 0 AND b.p = 1),
 e AS (SELECT x + y AS s, x - y AS m, x * y AS p, x / (1 + y) AS q, x, y FROM d)
 SELECT count(*) AS draws, round(avg(s), 5) AS total, round(avg(m), 5) AS difference, round(avg(p), 3) AS product, round(stddev_samp(q), 5) AS ratio, round(quantile_cont(s, 0.15865), 5) AS low, round(quantile_cont(s, 0.84135), 5) AS high,
   round(covar_samp(x, y), 4) AS covariance, round(covar_samp(y, y), 4) AS variance, round(quantile_cont(y, 0.15865), 5) AS low_y FROM e""")
 def estimate_arithmetic(spark, sf_dir):
     """A chain of walkers as an ensemble; sums, products and ratios of estimates of one source, and their covariance."""
-    x = np.array([r.value for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select("value").collect()])
-    chain = x[: len(x) // 40 * 40].reshape(-1, 20, 2)
-    e = Ensemble.from_chain(["x", "y"], chain, discard=10, thin=3)
-    a, b = (Estimate(0.0, e.draws[:, k], e.source) for k in (0, 1))
-    low, high = (a + b).interval()
-    binned = BinnedEstimate(np.zeros(2), e.draws, e.source)
-    c = binned.covariance()
-    out = [len(e), (a + b).mean(), (a - b).mean(), (a * b).mean(), (a / (b + 1.0)).std(), low, high, c[0, 1], c[1, 1], binned.interval()[0][1]]
-    digits = [0, 5, 5, 3, 5, 5, 5, 4, 4, 5]
-    names = ["draws", "total", "difference", "product", "ratio", "low", "high", "covariance", "variance", "low_y"]
-    return table(spark, "draws long, " + ", ".join(f"{n} double" for n in names[1:]), [(len(e), *(round(float(v), d) for v, d in zip(out[1:], digits[1:], strict=True)))])
+    e = FrameEnsemble.from_chain(["x", "y"], _chain(spark, sf_dir), discard=10, thin=3).resident()
+    a, b = e["x"], e["y"]
+    (low, high), (low_y, _) = (a + b).interval(), b.interval()
+    got = e.summary(total=(a + b).mean(), difference=(a - b).mean(), product=(a * b).mean(), ratio=(a / (b + 1.0)).std(), low=low, high=high, covariance=a.covariance(b), variance=b.covariance(b), low_y=low_y)
+    e.streaming()
+    digits = {"total": 5, "difference": 5, "product": 3, "ratio": 5, "low": 5, "high": 5, "covariance": 4, "variance": 4, "low_y": 5}
+    row = (got["draws"], *(None if got[k] is None else round(got[k], d) for k, d in digits.items()))
+    return table(spark, "draws long, " + ", ".join(f"{k} double" for k in digits), [row])
 
 
 # -- fits -----------------------------------------------------------------------------------------------------------------------
